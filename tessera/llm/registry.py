@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, warc
+from . import bpe, exact_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op3_bpe": bpe.query,
     "op4_warc": warc.query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL}
