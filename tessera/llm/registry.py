@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, warc
+from . import bpe, exact_dedup, fingerprints, mixing, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_bpe": bpe.query,
     "op4_warc": warc.query,
+    "op8_mix": mixing.query,
+    "op10_fingerprints": fingerprints.query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL}
