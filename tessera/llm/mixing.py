@@ -54,12 +54,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.select("source", "source_size", F.when(level.isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * level)).alias("target"))
 
 
-def pivot(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Rounds one block, largest documents first; all but at most one come back decided, with last that one too."""
+def pivot(pdf: pd.DataFrame, height: int, last: bool) -> pd.DataFrame:
+    """Rounds one block of the tree at this height, largest documents first; all but at most one come back decided, with last that one too."""
     pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
     size, part = pdf["size"].to_numpy(np.float64), pdf["part"].to_numpy(np.float64).copy()
-    # Chances come from the ids, so reruns agree.
-    x = pdf["doc_id"].fillna(-1).to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    # Chances come from the ids and the height, so reruns agree and heights draw anew.
+    x = pdf["doc_id"].fillna(-1).to_numpy(np.int64).view(np.uint64) + np.uint64((height + 1) * 0x9E3779B97F4A7C15 % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     chance = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -85,6 +85,10 @@ def pivot(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     return pdf
 
 
+def rounding(height: int, last: bool):
+    return lambda pdf: pivot(pdf, height, last)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source).
 
@@ -105,16 +109,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         "size", F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("part"), F.lit(True).alias("open"),
     )
     most_blocks = -(-(aim.agg(F.max("units")).first()[0] or 0) // BLOCK)
-    decided = []
+    decided, height = [], 0
     while True:
         last = most_blocks <= 1
         todo = level.filter((F.col("size") > 0) & (F.col("part") > 0))
         decided.append(level.filter((F.col("size") == 0) | (F.col("part") == 0)))
-        done = stored(todo.groupBy("source", "block").applyInPandas(lambda pdf, last=last: pivot(pdf, last), UNIT), "pivot")
+        done = stored(todo.groupBy("source", "block").applyInPandas(rounding(height, last), UNIT), "pivot")
         decided.append(done.filter(~F.col("open")))
         if last:
             break
-        level, most_blocks = done.filter("open"), -(-most_blocks // FAN)
+        level, most_blocks, height = done.filter("open"), -(-most_blocks // FAN), height + 1
     rounded = decided[0]
     for d in decided[1:]:
         rounded = rounded.unionByName(d)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, mixing, warc
+from . import bpe, exact_dedup, fingerprints, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_bpe": bpe.query,
     "op4_warc": warc.query,
+    "op5_toxicity": toxicity.query,
+    "op7_quality": quality.query,
     "op8_mix": mixing.query,
     "op10_fingerprints": fingerprints.query,
 }

@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled texts, share their lowest order: how
-many different words precede a word, summed over all documents of the corpus, labelled or
-not. A text's feature is the difference of its length-normalised log-likelihoods, as a
-whole and in its most toxic window; a logistic curve, fitted on labelled rows that the
-models have not seen, makes it a score.
-
-Words are hashed into tables of fixed size, so the models' size does not depend on the input.
+Two models, of toxic and of ordinary labelled texts, give each word its likelihood by
+interpolated Kneser-Ney over growing prefixes: the word itself, its first six letters, its
+first four. Each level is discounted and backs off to the shorter one, and the shortest to
+counts shared by both classes, of all documents of the corpus, labelled or not. Counts are of
+documents, so a word that one text repeats counts once. A text's features are differences of
+its two length-normalised log-likelihoods, as a whole and in its most toxic windows; a
+logistic curve, fitted on labelled rows that the models have not seen, makes them a score.
+
+Words and prefixes are hashed into tables of fixed size, so the models' size does not depend on the input.
 """
 
 from __future__ import annotations
@@ -24,45 +26,37 @@ from . import _fit
 from ._common import map_slices, ship, slices
 
 ship(__name__)
-BITS, PAIR_BITS, WINDOW, PIECE = 20, 21, 24, 1 << 16
+BITS, WINDOWS, PIECE = 20, (24, 6, 1), 1 << 16
+#: Letters of each level of the backoff; 0: the whole word.
+LEVELS = (0, 6, 4)
 #: Labelled rows of each class used for training, about; a quarter calibrates.
 MOST_ROWS = 12_000
+#: A class's counts below this are left to the backoff wholly.
+LEAST = 3
 WORD = re.compile(r"\w+")
-TABLES = {"shared": BITS, "one_0": BITS, "one_1": BITS, "next_0": BITS, "next_1": BITS, "two_0": PAIR_BITS, "two_1": PAIR_BITS}
+TABLES = [f"{who}_{k}" for k in range(len(LEVELS)) for who in ("shared", "of_0", "of_1")]
+PIECES = pa.schema([("name", pa.string()), ("at", pa.int32()), ("data", pa.binary())])
 
 
 class Words:
-    """Word numbers below 2**BITS of lower-cased words, 0 for the start of a text."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words, known = WORD.findall(text.lower()), self.known
-        if len(known) > 300_000:
-            known.clear()
-        try:
-            out = [known[w] for w in words]
-        except KeyError:
-            for w in set(words):
-                known[w] = zlib.crc32(w.encode()) % ((1 << BITS) - 1) + 1
-            out = [known[w] for w in words]
-        return np.array(out, np.int64)
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All words, the word before each, and the number of words of each text."""
-        every = [self.ids(t) for t in texts]
-        size = np.array([len(x) for x in every], np.int64)
-        words = np.concatenate(every) if every else np.zeros(0, np.int64)
-        before = np.append(0, words[:-1])[: len(words)]
-        starts = (np.cumsum(size) - size)[size > 0]
-        before[starts] = 0
-        return words, before, size
-
-
-def pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    x = (before.astype(np.uint64) << np.uint64(BITS) | words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """Numbers the lower-cased words of texts; ``ids`` holds each number's hashes at all levels."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.known, self.ids, self.rated = most, {}, np.zeros((len(LEVELS), 0), np.int64), np.zeros(0)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, and how many words each text has."""
+        split = [WORD.findall(t.lower()) for t in texts]
+        if len(self.known) > self.most:
+            self.known, self.ids, self.rated = {}, self.ids[:, :0], self.rated[:0]
+        known = self.known
+        if fresh := [w for w in set().union(*split) if w not in known]:
+            new = [[zlib.crc32(w.encode()) % (1 << BITS) for w in fresh]]
+            new += [[zlib.crc32(w[:n].encode()) % (1 << BITS) for w in fresh] for n in LEVELS[1:]]
+            self.ids = np.concatenate([self.ids, np.array(new, np.int64)], axis=1)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        size = np.array([len(x) for x in split], np.int64)
+        return np.fromiter((known[w] for x in split for w in x), np.int64, int(size.sum())), size
 
 
 def counted(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -73,30 +67,23 @@ def counted(docs: DataFrame) -> dict[str, np.ndarray]:
     """
 
     def run(batches):
-        words, sums = Words(), {k: np.zeros(1 << b, np.int64) for k, b in TABLES.items()}
+        words, sums = Words(), {k: np.zeros(1 << BITS, np.int64) for k in TABLES}
         any_rows = False
         for part in slices(batches):
             any_rows = True
-            w, v, size = words.batch([t or "" for t in part.column("text").to_pylist()])
-            doc = np.repeat(np.arange(len(size)), size)
-            of_doc = np.array([-1 if y is None else y for y in part.column("y").to_pylist()], np.int64)
-            y = np.repeat(of_doc, size)
-            # Different words before each word, text by text.
-            key = np.unique((doc.astype(np.uint64) << np.uint64(2 * BITS)) | (v.astype(np.uint64) << np.uint64(BITS)) | w.astype(np.uint64))
-            sums["shared"] += np.bincount((key & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-            for c in (0, 1):
-                if (of := y == c).any():
-                    after = key[of_doc[(key >> np.uint64(2 * BITS)).astype(np.int64)] == c]
-                    sums[f"next_{c}"] += np.bincount(((after >> np.uint64(BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-                    sums[f"one_{c}"] += np.bincount(w[of], minlength=1 << BITS)
-                    sums[f"two_{c}"] += np.bincount(pair(v[of], w[of]), minlength=1 << PAIR_BITS)
+            w, size = words.numbers([t or "" for t in part.column("text").to_pylist()])
+            doc = np.repeat(np.arange(len(size), dtype=np.int64), size)
+            y = np.array([-1 if y is None else y for y in part.column("y").to_pylist()], np.int64)
+            once = np.unique(doc << 32 | w)
+            for k in range(len(LEVELS)):
+                key = np.unique(once >> 32 << 32 | words.ids[k][once & 0xFFFFFFFF])
+                own, of = key & 0xFFFFFFFF, y[key >> 32]
+                for who, rows in (("shared", slice(None)), ("of_0", of == 0), ("of_1", of == 1)):
+                    if len(got := own[rows]):
+                        sums[f"{who}_{k}"] += np.bincount(got, minlength=1 << BITS)
         if any_rows:
-            out = []
-            for k, x in sums.items():
-                for i in range(0, len(x), PIECE):
-                    if x[i : i + PIECE].any():
-                        out.append((k, i, zstandard.compress(x[i : i + PIECE].tobytes(), 1)))
-            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": d} for k, i, d in out], schema=pa.schema([("name", pa.string()), ("at", pa.int32()), ("data", pa.binary())]))
+            out = [(k, i, zstandard.compress(x[i : i + PIECE].tobytes(), 1)) for k, x in sums.items() for i in range(0, len(x), PIECE) if x[i : i + PIECE].any()]
+            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": d} for k, i, d in out], schema=PIECES)
 
     def add(batches):
         sums: dict[tuple, np.ndarray] = {}
@@ -105,68 +92,73 @@ def counted(docs: DataFrame) -> dict[str, np.ndarray]:
                 x = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
                 sums[r["name"], r["at"]] = sums.get((r["name"], r["at"]), 0) + x
         if sums:
-            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": zstandard.compress(x.tobytes(), 1)} for (k, i), x in sums.items()], schema=pa.schema([("name", pa.string()), ("at", pa.int32()), ("data", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": zstandard.compress(x.tobytes(), 1)} for (k, i), x in sums.items()], schema=PIECES)
 
     schema = "name string, at int, data binary"
     pieces = docs.select("text", "y").mapInArrow(run, schema).repartition("name", "at").mapInArrow(add, schema)
-    out = {k: np.zeros(1 << b, np.int64) for k, b in TABLES.items()}
+    out = {k: np.zeros(1 << BITS, np.int64) for k in TABLES}
     for r in pieces.collect():  # at most one row for each piece of the tables
         x = np.frombuffer(zstandard.decompress(bytes(r["data"])), np.int64)
         out[r["name"]][r["at"] : r["at"] + len(x)] = x
     return out
 
 
-def discount(counts: np.ndarray) -> float:
-    """Of absolute discounting: n1 / (n1 + 2 n2)."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.5, one / max(1, one + 2 * two)))
+def discounted(counts: np.ndarray) -> np.ndarray:
+    """Counts less the absolute discount n1 / (n1 + 2 n2), of the counts from LEAST on; lower ones are discounted wholly."""
+    one, two = int((counts == LEAST).sum()), int((counts == LEAST + 1).sum())
+    d = min(0.95, max(0.5, one / max(1, one + 2 * two)))
+    return np.where(counts >= LEAST, counts - d, 0.0)
 
 
 class Models:
-    """Both classes' interpolated Kneser-Ney bigram models over hashed words."""
+    """Both classes' interpolated models; each word's likelihood is made of its hashes at all levels."""
 
     def __init__(self, sums: dict[str, np.ndarray]):
-        shared = sums["shared"].astype(np.float64) + 0.5
-        shared /= shared.sum()
-        self.one, self.two, self.times, self.rest = [], [], [], []
+        self.own, self.back, self.shared = [[], []], [[], []], []
+        for k in range(len(LEVELS)):
+            shared = sums[f"shared_{k}"].astype(np.float64) + 0.1
+            self.shared.append((shared / shared.sum()).astype(np.float32))
+            for c in (0, 1):
+                counts = sums[f"of_{c}_{k}"]
+                kept, total = discounted(counts), counts.sum() + 1.0
+                self.own[c].append((kept / total).astype(np.float32))
+                self.back[c].append((total - kept.sum()) / total)
+
+    def ratio(self, ids: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) for columns of hashes."""
+        p = []
         for c in (0, 1):
-            one, two = sums[f"one_{c}"].astype(np.float64), sums[f"two_{c}"].astype(np.float64)
-            one_before = one.copy()
-            one_before[0] = sums[f"next_{c}"][0]
-            total, d1, d2 = one.sum() + 1, discount(sums[f"one_{c}"]), discount(sums[f"two_{c}"])
-            less = np.minimum(one, d1)
-            # The mass taken from the class's unigrams, and of one more word, goes to the shared ones.
-            self.one.append(((one - less) / total + (less.sum() + 1) / total * shared).astype(np.float32))
-            # A word precedes another as often as it occurs, but for texts' last words; its followers count once a text.
-            self.times.append(np.maximum(one_before, 1).astype(np.float32))
-            self.two.append(np.maximum(two - d2, 0).astype(np.float32))
-            self.rest.append(np.where(one_before > 0, np.clip(d2 * sums[f"next_{c}"] / np.maximum(one_before, 1), 1e-3, 1), 1).astype(np.float32))
-
-    def ratio(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log p(word | before, toxic) - log p(word | before, ordinary) of each word."""
-        at = pair(before, words)
-        p = [np.minimum(self.two[c][at] / self.times[c][before], 1) + self.rest[c][before] * self.one[c][words] for c in (0, 1)]
+            # From the shortest prefix to the word; the shared counts divide a prefix's mass among what it begins.
+            q = self.shared[-1][ids[-1]].astype(np.float64)
+            for k in range(len(LEVELS) - 1, -1, -1):
+                q = self.own[c][k][ids[k]] + self.back[c][k] * q
+                if k:
+                    q = q * np.minimum(self.shared[k - 1][ids[k - 1]] / self.shared[k][ids[k]].astype(np.float64), 1)
+            p.append(q)
         return np.log(p[1]) - np.log(p[0])
 
     def features(self, texts: list[str], words: Words) -> np.ndarray:
-        """The mean ratio of each text, and of its window of 24 words with the largest mean; 0 without words."""
-        w, v, size = words.batch(texts)
-        r = np.append(0, np.cumsum(self.ratio(w, v).astype(np.float64)))
+        """The mean ratio of each text, and the largest mean of its windows of 24, 6 and 1 words; 0 without words.
+
+        A text shorter than a window counts as if words that tell nothing filled it.
+        """
+        w, size = words.numbers(texts)
+        if len(words.rated) < len(words.known):
+            words.rated = np.append(words.rated, self.ratio(words.ids[:, len(words.rated) :]))
+        r = np.append(0, np.cumsum(words.rated[w]))
         end = np.cumsum(size)
-        start = end - size
-        mean = (r[end] - r[start]) / np.maximum(size, 1)
-        doc_end = np.repeat(end, size)
-        at = np.arange(len(w))
-        inside = at + WINDOW <= doc_end
-        most = np.full(len(w), -np.inf)
-        most[inside] = (r[at[inside] + WINDOW] - r[at[inside]]) / WINDOW
-        best = mean.copy()
-        full = size > 0
-        if full.any():
-            # A text shorter than the window counts as if ordinary words filled it.
-            short = np.where(size < WINDOW, mean * size / WINDOW, -np.inf)
-            best[full] = np.maximum(np.maximum.reduceat(most, start[full]), short[full])
-        return np.column_stack([mean, best])
+        start, full = end - size, size > 0
+        out = [(r[end] - r[start]) / np.maximum(size, 1)]
+        at, doc_end = np.arange(len(w)), np.repeat(end, size)
+        for n in WINDOWS:
+            inside, most = at + n <= doc_end, np.full(len(w), -np.inf)
+            most[inside] = (r[at[inside] + n] - r[at[inside]]) / n
+            best = np.zeros(len(size))
+            if full.any():
+                short = np.where(size < n, (r[end] - r[start]) / n, -np.inf)
+                best[full] = np.maximum(np.maximum.reduceat(most, start[full]), short[full])
+            out.append(best)
+        return np.column_stack(out)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[Models, np.ndarray]:
@@ -180,10 +172,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
 
     def rate(part, words):
         x = shared.value.features([t or "" for t in part.column("text").to_pylist()], words)
-        return {"y": part.column("y"), "mean": x[:, 0], "best": x[:, 1]}
+        return {"y": part.column("y"), "x": list(x)}
 
-    rows = map_slices(slim.join(F.broadcast(chosen.filter("calibrates")), "doc_id").select("text", "y"), rate, "y int, mean double, best double", start=Words).toPandas()
-    return models, _fit.logistic(rows[["mean", "best"]].to_numpy(np.float64).reshape(-1, 2), rows["y"].to_numpy(np.float64))
+    rows = map_slices(slim.join(F.broadcast(chosen.filter("calibrates")), "doc_id").select("text", "y"), rate, "y int, x array<double>", start=Words).toPandas()
+    return models, _fit.logistic(np.array([*rows["x"]], np.float64).reshape(-1, 1 + len(WINDOWS)), rows["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, models: Models, curve: np.ndarray, threshold: float = 0.3) -> DataFrame:
