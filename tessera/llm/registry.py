@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, pii, quality, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_quality": quality.query,
     "op8_mix": mixing.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_fingerprints": fingerprints.query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL}
