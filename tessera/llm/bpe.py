@@ -225,3 +225,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    return encode(docs, vocabulary_path(), keep_ids=True).drop("decoded")
