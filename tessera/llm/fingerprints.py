@@ -8,7 +8,6 @@ Jaccard similarity. All texts of a slice are hashed together in numpy.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ from ._common import ship, slices, stored
 
 ship(__name__)
 K, SHINGLE = 128, 5
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class MinHash:
@@ -32,10 +30,10 @@ class MinHash:
         self.k, self.shingle = k, shingle
         self.a = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, k, dtype=np.uint64)
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def word_hashes(self, text: str) -> np.ndarray:
-        words, known = WORD.findall(text), self.known
+        words, known = text.encode("utf-8", "surrogatepass").split(), self.known  # bytes know ASCII white space only
         if len(known) > 300_000:
             known.clear()
         try:
@@ -43,7 +41,7 @@ class MinHash:
         except KeyError:
             for w in set(words):
                 if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                    known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
             out = [known[w] for w in words]
         return np.array(out, np.uint64)
 

@@ -10,15 +10,14 @@ verified by the weighted Jaccard similarity of the two whole texts.
 
 Exact copies are one node from the start. Buckets are never expanded to pairs: first each
 member meets its bucket's representative, another one in each band; then what representatives
-did not join is compared by signatures, in tiles of bounded size that are spread over tasks,
-and only pairs that look alike and are not joined yet are verified. Classes are the
-connected components of the verified links, by contraction on the executors.
+did not join is compared in tiles of bounded size that are spread over tasks, by signatures
+and, where these look alike and are not joined yet, by the texts. Classes are the components of the verified links, by contraction on the executors.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,6 @@ FIRST_BANDS = 3
 IDF_BITS, PIECE = 21, 1 << 16
 #: Share of equal samples from which a pair of a tile is verified: 3.5 standard deviations below SIMILAR.
 LOOKS_ALIKE, TILE, FAN = 0.62, 512, 512
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = pa.schema([("at", pa.int32()), ("docs", pa.int64()), ("data", pa.binary())])
 
 
@@ -51,17 +49,21 @@ class Words:
     def __init__(self, most: int = 300_000):
         self.most, self.known, self.hash, self.idf = most, {}, np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [WORD.findall(t) for t in texts]
+    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words of texts, one after the other."""
         if len(self.known) > self.most:
             self.known, self.hash, self.idf = {}, self.hash[:0], self.idf[:0]
         known = self.known
         if fresh := [w for w in set().union(*split) if w not in known]:
-            new = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in fresh), "<u8")
+            new = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh), "<u8")
             self.hash = np.concatenate([self.hash, new])
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        size = np.array([len(x) for x in split], np.int64)
-        return np.fromiter((known[w] for x in split for w in x), np.int64, int(size.sum())), size
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """Stretches without ASCII white space, in UTF-8; bytes know no other white space."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
@@ -70,8 +72,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     def run(batches):
         words, sums, n = Words(), np.zeros(1 << IDF_BITS, np.int32), 0
         for part in slices(batches):
-            w, size = words.numbers([t or "" for t in part.column("text").to_pylist()])
-            once = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size) << 32 | w) & 0xFFFFFFFF
+            once = words.numbers([[*set(split_words(t))] for t in part.column("text").to_pylist()])
             sums += np.bincount((words.hash[once] >> np.uint64(64 - IDF_BITS)).astype(np.int64), minlength=1 << IDF_BITS).astype(np.int32)
             n += part.num_rows
         if n:
@@ -113,11 +114,12 @@ class Sampler:
     def weighted(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its different shingles' hashes, sorted, and their weights. A text of fewer than five words is one shingle."""
         words = self.words
-        every, size = words.numbers(texts)
+        split = [split_words(t) for t in texts]
+        every = words.numbers(split)
         if len(words.idf) < len(words.hash):
             words.idf = np.append(words.idf, self.table[(words.hash[len(words.idf) :] >> np.uint64(64 - IDF_BITS)).astype(np.int64)])
         out, end = [], 0
-        for n in size.tolist():
+        for n in map(len, split):
             own, end = every[end : end + n], end + n
             if not n:
                 out.append((np.zeros(0, np.uint64), np.zeros(0, np.float32)))
@@ -209,6 +211,15 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return stored(out, name)
 
 
+def hooked(links: DataFrame, jumps: int, name: str) -> DataFrame:
+    """node and label by a few steps towards small neighbours: enough to see that most linked nodes are joined."""
+    own = stored(links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(links.select("b", "a")).groupBy("node").agg(F.min("label").alias("label")).select("node", F.least("node", "label").alias("label")), name)
+    for _ in range(jumps):
+        then = own.select(F.col("node").alias("label"), F.col("label").alias("then"))
+        own = own.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+    return stored(own, name)
+
+
 class Finder:
     """The steps of one search; ``classes`` runs them all."""
 
@@ -277,10 +288,12 @@ class Finder:
         return self.verified(pairs.select("a", "b", F.ceil(F.col("n") / FAN).alias("fan")), name)
 
     def compare(self, labels: DataFrame) -> DataFrame:
-        """Links of members of one bucket that representatives did not join, by comparing signatures in tiles.
+        """Links of members of one bucket that representatives did not join.
 
         Of a bucket, members outside its commonest label are compared with each other and
-        with all the rest. Tiles hold about TILE members, whatever the bucket's size.
+        with all the rest, in tiles of about TILE members, whatever the bucket's size. A tile
+        compares signatures first and verifies what looks alike and is not joined yet, so it
+        returns fewer links than it has members.
         """
         own = stored(self.labelled(labels, SAMPLES // ROWS), "labelled")
         by_label = own.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -291,33 +304,44 @@ class Finder:
         span = lambda a, b: F.when(F.lit(a) <= b, F.sequence(F.lit(a).cast("bigint"), b)).otherwise(F.array().cast("array<bigint>"))
         before = F.transform(span(0, F.least(F.col("tile"), F.col("odd")) - 1), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j")))
         after = F.transform(F.when(F.col("tile") < F.col("odd"), F.sequence(F.col("tile"), F.col("odd") + F.col("even") - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
-        held = held.join(self.nodes.select("node", "sig"), "node").withColumn("at", F.explode(F.concat(before, after))).select("key", "at.i", "at.j", "tile", "node", "label", "sig")
+        held = held.withColumn("at", F.explode(F.concat(before, after))).select("key", "at.i", "at.j", "tile", "node", "label")
+        held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts, "node")
+        idf, made = self.idf, []
 
         def alike(key, table):
-            i, j = key[1].as_py(), key[2].as_py()
+            if not made:  # once in each task
+                made.append(Sampler(idf.value))
+            i, j, sampler, sets = key[1].as_py(), key[2].as_py(), made[0], {}
             tile = np.array(table.column("tile").to_pylist())
-            nodes, labels = table.column("node").to_pylist(), np.array([hash(x) for x in table.column("label").to_pylist()])
+            nodes, texts = table.column("node").to_pylist(), table.column("text")
+            number: dict[bytes, int] = {}
+            group = np.array([number.setdefault(x, len(number)) for x in table.column("label").to_pylist()])
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, SAMPLES)
             left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-            a, b = [], []
+
+            def shingles(x):
+                if x not in sets:
+                    sets[x] = sampler.weighted([texts[x].as_py()])[0]
+                return sets[x]
+
+            links = []
             for x in left.tolist():
                 others = right[right > x] if i == j else right
-                others = others[labels[others] != labels[x]]
-                like = others[(sig[others] == sig[x]).mean(axis=1) >= LOOKS_ALIKE] if len(others) else others
-                a += [nodes[x]] * len(like)
-                b += [nodes[y] for y in like.tolist()]
-            swap = [(min(p), max(p)) for p in zip(a, b, strict=True)]
-            return pa.table({"a": pa.array([p[0] for p in swap], pa.binary()), "b": pa.array([p[1] for p in swap], pa.binary())})
+                others = others[group[others] != group[x]]
+                if len(others):
+                    for y in others[(sig[others] == sig[x]).mean(axis=1) >= LOOKS_ALIKE].tolist():
+                        if group[x] != group[y] and similarity(shingles(x), shingles(y)) >= SIMILAR:
+                            links.append((nodes[x], nodes[y]))
+                            group[group == group[y]] = group[x]
+            return pa.table({"a": pa.array([p[0] for p in links], pa.binary()), "b": pa.array([p[1] for p in links], pa.binary())})
 
-        pairs = held.groupBy("key", "i", "j").applyInArrow(alike, "a binary, b binary").distinct()
-        return self.verified(pairs.withColumn("fan", F.lit(1).cast("bigint")), "links")
+        return stored(held.groupBy("key", "i", "j").applyInArrow(alike, "a binary, b binary").distinct(), "links")
 
     def classes(self) -> DataFrame:
         """node, class_id (its smallest doc_id), class_size (documents) and copies of all nodes."""
         links = self.meet(None, FIRST_BANDS, "links")
-        links = links.union(self.meet(components(links, "first"), SAMPLES // ROWS, "links"))
-        labels = components(links, "second")
-        links = links.union(self.compare(labels))
+        links = links.union(self.meet(hooked(links, 1, "first"), SAMPLES // ROWS, "links"))
+        links = links.union(self.compare(hooked(links, 3, "second")))
         labels = components(links, "labels")
         own = self.nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
         own = stored(own, "own")
