@@ -150,7 +150,8 @@ class Field:
         """By pseudo-likelihood: each token given its neighbours' labels.
 
         Labels are the patterns' matches. Half of the tokens hide their features, so links
-        learn to tell what a token is where its look doesn't.
+        learn to tell what a token is where its look doesn't. An unmatched token that is
+        linked to a match over skips is neither: the patterns can't say, and it is left out.
         """
         n = len(graph.doc)
         y = np.maximum(np.array(graph.kind, np.int64), 0)
@@ -160,6 +161,12 @@ class Field:
         hidden = np.array([hashlib.blake2b(f"{d}:{s}".encode(), digest_size=1).digest()[0] & 1 for d, s in zip(graph.doc, graph.span, strict=True)], bool)
         x[hidden] = 0
         links = [np.array(own, np.int64).reshape(-1, 2) for own in graph.links]
+        skips = np.concatenate(links[1:])
+        known = np.ones(n, bool)
+        known[skips[y[skips[:, 0]] > 0, 1]] = known[skips[y[skips[:, 1]] > 0, 0]] = False
+        known |= y > 0
+        x[~known] = 0
+        links = [e[known[e].all(axis=1)] for e in links]
         node, link = np.zeros((FEATURES, LABELS)), np.zeros((len(links), LABELS, LABELS))
         steps = [np.zeros_like(node), np.zeros_like(link), np.zeros_like(node), np.zeros_like(link)]
         one_hot = np.eye(LABELS)[y]
@@ -169,7 +176,7 @@ class Field:
                 np.add.at(score, e[:, 0], link[k].T[y[e[:, 1]]])
                 np.add.at(score, e[:, 1], link[k][y[e[:, 0]]])
             p = np.exp(score - score.max(axis=1, keepdims=True))
-            off = p / p.sum(axis=1, keepdims=True) - one_hot
+            off = (p / p.sum(axis=1, keepdims=True) - one_hot) * known[:, None]
             g_node, g_link = x.T @ off + ridge * node, ridge * link
             for k, e in enumerate(links):
                 np.add.at(g_link[k].T, y[e[:, 1]], off[e[:, 0]])
