@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from ._common import ship, slices, stored
 
 ship(__name__)
@@ -90,6 +91,25 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
+class Sets:
+    """Fingerprints for the search of near_dedup: plain sets of shingles, so every weight is 1."""
+
+    def __init__(self):
+        self.hash = MinHash(near_dedup.SAMPLES)
+
+    def signatures(self, texts: list[str]) -> np.ndarray:
+        return self.hash.signatures(texts)
+
+    def weighted(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sets = [np.unique(self.hash.shingles(t)) for t in texts]
+        return [(x, np.ones(len(x), np.float32)) for x in sets]
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity 0.8 or more: bands of the fingerprints are joined, links verified on whole texts; rows as of near_dedup.near_duplicates."""
+    return near_dedup.near_duplicates(docs, Sets)
+
+
 EDIT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

@@ -223,11 +223,14 @@ def hooked(links: DataFrame, jumps: int, name: str) -> DataFrame:
 class Finder:
     """The steps of one search; ``classes`` runs them all."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, make=None):
+        """make: called in tasks, gives an object with signatures() and weighted(); else a Sampler for the IDF of docs."""
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", node().alias("node"))
-        self.idf = self.spark.sparkContext.broadcast(idf_table(self.docs))
-        idf = self.idf
+        if make is None:
+            idf = self.spark.sparkContext.broadcast(idf_table(self.docs))
+            make = lambda: Sampler(idf.value)
+        self.make = make
 
         def sign(part, sampler):
             s = sampler.signatures([t or "" for t in part.column("text").to_pylist()])
@@ -235,7 +238,7 @@ class Finder:
             short = ((s * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
             return {"doc_id": part.column("doc_id"), "node": part.column("node"), "keys": list(bands(s)), "sig": [x.tobytes() for x in short]}
 
-        self.rows = stored(map_slices(self.docs, sign, "doc_id bigint, node binary, keys array<bigint>, sig binary", start=lambda: Sampler(idf.value)), "signatures")
+        self.rows = stored(map_slices(self.docs, sign, "doc_id bigint, node binary, keys array<bigint>, sig binary", start=make), "signatures")
         self.nodes = stored(self.rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
         every = self.nodes.select("node", F.posexplode("keys").alias("band", "key"))
         full = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "full")
@@ -251,10 +254,10 @@ class Finder:
         right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)))
         held = pairs.join(right, ["b", "fan", "part"]).select("a", "b", "text_b")
         held = held.join(self.texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
-        idf = self.idf
+        make = self.make
 
         def check(batches):
-            sampler, known = Sampler(idf.value), {}
+            sampler, known = make(), {}
             for part in slices(batches):
                 rows = part.to_pylist()
                 good = []
@@ -306,11 +309,11 @@ class Finder:
         after = F.transform(F.when(F.col("tile") < F.col("odd"), F.sequence(F.col("tile"), F.col("odd") + F.col("even") - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
         held = held.withColumn("at", F.explode(F.concat(before, after))).select("key", "at.i", "at.j", "tile", "node", "label")
         held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts, "node")
-        idf, made = self.idf, []
+        make, made = self.make, []
 
         def alike(key, table):
             if not made:  # once in each task
-                made.append(Sampler(idf.value))
+                made.append(make())
             i, j, sampler, sets = key[1].as_py(), key[2].as_py(), made[0], {}
             tile = np.array(table.column("tile").to_pylist())
             nodes, texts = table.column("node").to_pylist(), table.column("text")
@@ -349,7 +352,7 @@ class Finder:
         return stored(lookup(own, stored(of_label, "classes"), "label", "n", self.total).select("node", "class_id", "class_size", "copies"), "node_classes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, make=None) -> DataFrame:
     """doc_id, node, class_id, class_size and kept of each row of docs (doc_id, text).
 
     Documents are in one class if a chain of links of similarity 0.8 or more joins them. A
@@ -358,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     four words is one shingle. Equal texts and repeated rows share a class. An empty table
     gives no rows. Other columns are not read.
     """
-    finder = Finder(docs)
+    finder = Finder(docs, make)
     out = lookup(finder.rows.select("doc_id", "node"), finder.classes(), "node", "copies", finder.total)
     return out.select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
