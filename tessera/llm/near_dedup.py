@@ -341,7 +341,7 @@ class Finder:
         return stored(held.groupBy("key", "i", "j").applyInArrow(alike, "a binary, b binary").distinct(), "links")
 
     def classes(self) -> DataFrame:
-        """node, class_id (its smallest doc_id), class_size (documents) and copies of all nodes."""
+        """node, label (of its class), class_id (its smallest doc_id), class_size (documents) and copies of all nodes."""
         links = self.meet(None, FIRST_BANDS, "links")
         links = links.union(self.meet(hooked(links, 1, "first"), SAMPLES // ROWS, "links"))
         links = links.union(self.compare(hooked(links, 3, "second")))
@@ -349,30 +349,31 @@ class Finder:
         own = self.nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
         own = stored(own, "own")
         of_label = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
-        return stored(lookup(own, stored(of_label, "classes"), "label", "n", self.total).select("node", "class_id", "class_size", "copies"), "node_classes")
+        return stored(lookup(own, stored(of_label, "classes"), "label", "n", self.total).select("node", "label", "class_id", "class_size", "copies"), "node_classes")
 
 
 def near_duplicates(docs: DataFrame, make=None) -> DataFrame:
-    """doc_id, node, class_id, class_size and kept of each row of docs (doc_id, text).
+    """doc_id, node, label, class_id, class_size and kept of each row of docs (doc_id, text).
 
     Documents are in one class if a chain of links of similarity 0.8 or more joins them. A
     class's id is its smallest doc_id, and documents with this id are kept; null doc_ids come
-    last. A null text counts as empty; texts without words are one class; a text of one to
+    last. Classes without ids, or that share one, have the same id; the label tells them apart. A null text counts as empty; texts without words are one class; a text of one to
     four words is one shingle. Equal texts and repeated rows share a class. An empty table
     gives no rows. Other columns are not read.
     """
     finder = Finder(docs, make)
     out = lookup(finder.rows.select("doc_id", "node"), finder.classes(), "node", "copies", finder.total)
-    return out.select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "node", "label", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "label")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class: of those with the class's doc_id, that with the smallest text hash; of equal rows any."""
-    kept = near_duplicates(docs).filter("kept").groupBy(F.col("class_id").alias("_id")).agg(F.min("node").alias("_node"))
+    """One row of each class: of those with its smallest doc_id, that with the smallest text hash; of equal rows any."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
+    kept = near_duplicates(docs).groupBy("label").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_node"))
     held = docs.join(stored(kept, "kept"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (node() == F.col("_node")))
     one = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))
     return held.withColumn("_one", one).filter("_one = 1").select(docs.columns)

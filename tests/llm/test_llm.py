@@ -193,6 +193,13 @@ def test_near_dedup_of_odd_rows(spark):
     assert near_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_unlike_texts_without_own_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e") + " more"), (8, text("f"))]
+    kept = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "a"), (0, "b"), (0, "c"), (7, "d"), (7, "e"), (8, "f")]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)]
