@@ -8,25 +8,25 @@ documents, so a word that one text repeats counts once. A text's features are di
 its two length-normalised log-likelihoods, as a whole and in its most toxic windows; a
 logistic curve, fitted on labelled rows that the models have not seen, makes them a score.
 
-Words and prefixes are hashed into tables of fixed size, so the models' size does not depend on the input.
+Words and prefixes are counted exactly, by 64-bit hash, in a DataFrame that grows with the corpus. The
+models look up the shared counts of what a class counts at least LEAST times: those of all else cancel out of the ratio.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _fit
-from ._common import map_slices, ship, slices
+from ._common import map_slices, ship, slices, stored
 
 ship(__name__)
-BITS, WINDOWS, PIECE = 20, (24, 6, 1), 1 << 16
+WINDOWS = (24, 6, 1)
 #: Letters of each level of the backoff; 0: the whole word.
 LEVELS = (0, 6, 4)
 #: Labelled rows of each class used for training, about; a quarter calibrates.
@@ -34,106 +34,133 @@ MOST_ROWS = 12_000
 #: A class's counts below this are left to the backoff wholly.
 LEAST = 3
 WORD = re.compile(r"\w+")
-TABLES = [f"{who}_{k}" for k in range(len(LEVELS)) for who in ("shared", "of_0", "of_1")]
-PIECES = pa.schema([("name", pa.string()), ("at", pa.int32()), ("data", pa.binary())])
+COUNTS = pa.schema([("level", pa.int32()), ("key", pa.int64()), ("shared", pa.int64()), ("of_0", pa.int64()), ("of_1", pa.int64())])
 
 
 class Words:
-    """Numbers the lower-cased words of texts; ``ids`` holds each number's hashes at all levels."""
+    """Numbers the lower-cased words of texts; ``ids`` holds, for each number, the numbers of its forms at all levels, ``keys`` the hashes of each level's forms."""
 
     def __init__(self, most: int = 300_000):
-        self.most, self.known, self.ids, self.rated = most, {}, np.zeros((len(LEVELS), 0), np.int64), np.zeros(0)
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.ids, self.rated = {}, np.zeros((len(LEVELS), 0), np.int64), np.zeros(0)
+        self.forms, self.keys = [{} for _ in LEVELS], [np.zeros(0, np.int64) for _ in LEVELS]
+
+    def full(self) -> bool:
+        return len(self.known) > self.most
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words, and how many words each text has."""
         split = [WORD.findall(t.lower()) for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.ids, self.rated = {}, self.ids[:, :0], self.rated[:0]
         known = self.known
         if fresh := [w for w in set().union(*split) if w not in known]:
-            new = [[zlib.crc32(w.encode()) % (1 << BITS) for w in fresh]]
-            new += [[zlib.crc32(w[:n].encode()) % (1 << BITS) for w in fresh] for n in LEVELS[1:]]
-            self.ids = np.concatenate([self.ids, np.array(new, np.int64)], axis=1)
+            rows = []
+            for k, n in enumerate(LEVELS):
+                forms = self.forms[k]
+                own = [w[:n] for w in fresh] if n else fresh
+                new = [w for w in dict.fromkeys(own) if w not in forms]
+                forms.update(zip(new, range(len(forms), len(forms) + len(new)), strict=True))
+                hashes = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in new)
+                self.keys[k] = np.concatenate([self.keys[k], np.frombuffer(hashes, "<i8")])
+                rows.append([forms[w] for w in own])
+            self.ids = np.concatenate([self.ids, np.array(rows, np.int64)], axis=1)
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
         size = np.array([len(x) for x in split], np.int64)
         return np.fromiter((known[w] for x in split for w in x), np.int64, int(size.sum())), size
 
 
-def counted(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Sums over docs (text, y: 0, 1 or null): the tables named in TABLES.
+def counted(docs: DataFrame) -> DataFrame:
+    """Counts over docs (text, y: 0, 1 or null) of all words and prefixes: level, key, and the documents with it in all and of each class.
 
-    A task adds up its rows in arrays of fixed size and sends them as compressed pieces,
-    which are summed piece by piece on the executors.
+    A task adds up its rows and sends each form once, or once for each time its words fill its table.
     """
 
     def run(batches):
-        words, sums = Words(), {k: np.zeros(1 << BITS, np.int64) for k in TABLES}
-        any_rows = False
+        words, sums = Words(), [np.zeros((3, 0), np.int64) for _ in LEVELS]
+
+        def sent():
+            for k, x in enumerate(sums):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], k, np.int32)), *map(pa.array, (words.keys[k], *x))], schema=COUNTS)
+
         for part in slices(batches):
-            any_rows = True
             w, size = words.numbers([t or "" for t in part.column("text").to_pylist()])
             doc = np.repeat(np.arange(len(size), dtype=np.int64), size)
             y = np.array([-1 if y is None else y for y in part.column("y").to_pylist()], np.int64)
             once = np.unique(doc << 32 | w)
             for k in range(len(LEVELS)):
                 key = np.unique(once >> 32 << 32 | words.ids[k][once & 0xFFFFFFFF])
-                own, of = key & 0xFFFFFFFF, y[key >> 32]
-                for who, rows in (("shared", slice(None)), ("of_0", of == 0), ("of_1", of == 1)):
-                    if len(got := own[rows]):
-                        sums[f"{who}_{k}"] += np.bincount(got, minlength=1 << BITS)
-        if any_rows:
-            out = [(k, i, zstandard.compress(x[i : i + PIECE].tobytes(), 1)) for k, x in sums.items() for i in range(0, len(x), PIECE) if x[i : i + PIECE].any()]
-            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": d} for k, i, d in out], schema=PIECES)
-
-    def add(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for part in batches:
-            for r in part.to_pylist():
-                x = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
-                sums[r["name"], r["at"]] = sums.get((r["name"], r["at"]), 0) + x
-        if sums:
-            yield pa.RecordBatch.from_pylist([{"name": k, "at": i, "data": zstandard.compress(x.tobytes(), 1)} for (k, i), x in sums.items()], schema=PIECES)
-
-    schema = "name string, at int, data binary"
-    pieces = docs.select("text", "y").mapInArrow(run, schema).repartition("name", "at").mapInArrow(add, schema)
-    out = {k: np.zeros(1 << BITS, np.int64) for k in TABLES}
-    for r in pieces.collect():  # at most one row for each piece of the tables
-        x = np.frombuffer(zstandard.decompress(bytes(r["data"])), np.int64)
-        out[r["name"]][r["at"] : r["at"] + len(x)] = x
-    return out
-
-
-def discounted(counts: np.ndarray) -> np.ndarray:
-    """Counts less the absolute discount n1 / (n1 + 2 n2), of the counts from LEAST on; lower ones are discounted wholly."""
-    one, two = int((counts == LEAST).sum()), int((counts == LEAST + 1).sum())
-    d = min(0.95, max(0.5, one / max(1, one + 2 * two)))
-    return np.where(counts >= LEAST, counts - d, 0.0)
+                own, of, n = key & 0xFFFFFFFF, y[key >> 32], len(words.keys[k])
+                sums[k] = np.pad(sums[k], ((0, 0), (0, n - sums[k].shape[1])))
+                for row, got in enumerate((own, own[of == 0], own[of == 1])):
+                    sums[k][row] += np.bincount(got, minlength=n)
+            if words.full():
+                yield from sent()
+                words.clear()
+                sums = [np.zeros((3, 0), np.int64) for _ in LEVELS]
+        yield from sent()
+
+    pieces = docs.select("text", "y").mapInArrow(run, "level int, key bigint, shared bigint, of_0 bigint, of_1 bigint")
+    return stored(pieces.groupBy("level", "key").agg(*[F.sum(c).alias(c) for c in ("shared", "of_0", "of_1")]), "counts")
+
+
+def discount(one: int, two: int) -> float:
+    """The absolute discount n1 / (n1 + 2 n2) of the numbers of forms counted LEAST and LEAST + 1 times; lower counts are discounted wholly."""
+    return min(0.95, max(0.5, one / max(1, one + 2 * two)))
 
 
 class Models:
-    """Both classes' interpolated models; each word's likelihood is made of its hashes at all levels."""
+    """Both classes' interpolated models; each word's likelihood is made of its forms at all levels.
+
+    Held are the forms that a class counts at least LEAST times, with their counts of the whole
+    corpus; they are as many as the labelled sample has. The shared chance of any other form is the same factor of
+    both classes' likelihoods and is taken as 1.
+    """
 
-    def __init__(self, sums: dict[str, np.ndarray]):
-        self.own, self.back, self.shared = [[], []], [[], []], []
+    def __init__(self, counts: DataFrame):
+        low = lambda c, n: F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}")
+        kept = lambda c: F.sum(F.when(F.col(c) >= LEAST, F.col(c)).otherwise(0)).alias(f"{c}_kept")
+        many = lambda c: F.count(F.when(F.col(c) >= LEAST, 1)).alias(f"{c}_many")
+        per_class = [f(c) for c in ("of_0", "of_1") for f in (lambda c: F.sum(c).alias(c), kept, many, lambda c: low(c, LEAST), lambda c: low(c, LEAST + 1))]
+        sums = {r["level"]: r for r in counts.groupBy("level").agg(F.sum("shared").alias("shared"), F.count("*").alias("n"), *per_class).collect()}
+        held = counts.filter((F.col("of_0") >= LEAST) | (F.col("of_1") >= LEAST)).toArrow()
+        level = held.column("level").to_numpy()
+        self.keys, self.shared, self.own, self.back = [], [], [[], []], [[], []]
         for k in range(len(LEVELS)):
-            shared = sums[f"shared_{k}"].astype(np.float64) + 0.1
-            self.shared.append((shared / shared.sum()).astype(np.float32))
-            for c in (0, 1):
-                counts = sums[f"of_{c}_{k}"]
-                kept, total = discounted(counts), counts.sum() + 1.0
-                self.own[c].append((kept / total).astype(np.float32))
-                self.back[c].append((total - kept.sum()) / total)
-
-    def ratio(self, ids: np.ndarray) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary) for columns of hashes."""
-        p = []
+            r, at = sums.get(k), np.flatnonzero(level == k)
+            at = at[np.argsort(held.column("key").to_numpy()[at])]
+            self.keys.append(held.column("key").to_numpy()[at])
+            total = r["shared"] + 0.1 * r["n"] if r else 1.0
+            self.shared.append(np.append((held.column("shared").to_numpy()[at] + 0.1) / total, 1.0))
+            for c in ("of_0", "of_1"):
+                own = held.column(c).to_numpy()[at]
+                d = discount(r[f"{c}_{LEAST}"], r[f"{c}_{LEAST + 1}"]) if r else 0.0
+                total = (r[c] if r else 0) + 1.0
+                left = r[f"{c}_kept"] - d * r[f"{c}_many"] if r else 0.0
+                # The last entry is of all forms that are not held.
+                self.own[c == "of_1"].append(np.append(np.where(own >= LEAST, own - d, 0.0) / total, 0.0))
+                self.back[c == "of_1"].append((total - left) / total)
+
+    def found(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """The places of hashes among the held ones of a level; of others the last."""
+        held = self.keys[k]
+        if not len(held):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        return np.where(held[at] == keys, at, len(held))
+
+    def ratio(self, keys: list[np.ndarray]) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) for words' hashes at each level."""
+        at, p = [self.found(k, x) for k, x in enumerate(keys)], []
         for c in (0, 1):
             # From the shortest prefix to the word; the shared counts divide a prefix's mass among what it begins.
-            q = self.shared[-1][ids[-1]].astype(np.float64)
+            q = self.shared[-1][at[-1]]
             for k in range(len(LEVELS) - 1, -1, -1):
-                q = self.own[c][k][ids[k]] + self.back[c][k] * q
+                q = self.own[c][k][at[k]] + self.back[c][k] * q
                 if k:
-                    q = q * np.minimum(self.shared[k - 1][ids[k - 1]] / self.shared[k][ids[k]].astype(np.float64), 1)
+                    part = np.minimum(self.shared[k - 1][at[k - 1]] / self.shared[k][at[k]], 1)
+                    q = q * np.where(at[k - 1] < len(self.keys[k - 1]), part, 1.0)
             p.append(q)
         return np.log(p[1]) - np.log(p[0])
 
@@ -142,9 +169,11 @@ class Models:
 
         A text shorter than a window counts as if words that tell nothing filled it.
         """
+        if words.full():
+            words.clear()
         w, size = words.numbers(texts)
         if len(words.rated) < len(words.known):
-            words.rated = np.append(words.rated, self.ratio(words.ids[:, len(words.rated) :]))
+            words.rated = np.append(words.rated, self.ratio([x[i] for x, i in zip(words.keys, words.ids[:, len(words.rated) :], strict=True)]))
         r = np.append(0, np.cumsum(words.rated[w]))
         end = np.cumsum(size)
         start, full = end - size, size > 0

@@ -120,6 +120,50 @@ def test_scores(spark, module, column, mod, rest):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == rest) for r in rows if r["doc_id"] is not None)
 
 
+def test_toxicity_counts_are_exact(spark):
+    import zlib
+    from collections import Counter
+
+    seen, pairs = {}, []
+    for i in range(20_000):  # pairs of words whose short hashes are equal
+        w = f"{chr(97 + i % 26)}{i}"
+        if (other := seen.setdefault(zlib.crc32(w.encode()) % (1 << 20), w)) != w:
+            pairs.append((other, w))
+    rng = random.Random(4)
+    rare = [w for p in pairs[:40] for w in p]
+    rows = [(" ".join(rng.choice(rare + ["common", "commonly", "comma"]) for _ in range(30)), rng.choice([0, 1, None])) for _ in range(300)]
+    rows += [(f"{a} {a}", 1) for a, _ in pairs[:20]] * 6 + [(f"{b} x", 0) for _, b in pairs[:20]] * 6
+    docs = spark.createDataFrame(rows, "text string, y int")
+    cut = lambda w, n: w[:n] if n else w
+    every = [[Counter(), Counter(), Counter()] for _ in toxicity.LEVELS]
+    for t, y in rows:
+        for k, n in enumerate(toxicity.LEVELS):
+            for form in {cut(w, n) for w in t.split()}:
+                every[k][2][form] += 1
+                if y is not None:
+                    every[k][y][form] += 1
+    ask, want = sorted({w for t, _ in rows for w in t.split()}), []
+    for w in ask:
+        p = []
+        for c in (0, 1):
+            share = lambda k: (every[k][2][cut(w, toxicity.LEVELS[k])] + 0.1) / (sum(every[k][2].values()) + 0.1 * len(every[k][2]))
+            q = share(2)
+            for k in (2, 1, 0):
+                own = every[k][c]
+                one, two = (sum(x == toxicity.LEAST + i for x in own.values()) for i in (0, 1))
+                d, total = min(0.95, max(0.5, one / max(1, one + 2 * two))), sum(own.values()) + 1.0
+                left = {f: x - d for f, x in own.items() if x >= toxicity.LEAST}
+                q = left.get(cut(w, toxicity.LEVELS[k]), 0) / total + (total - sum(left.values())) / total * q
+                if k:
+                    q *= min(share(k - 1) / share(k), 1)
+            p.append(q)
+        want.append(np.log(p[1]) - np.log(p[0]))
+    for words in (toxicity.Words(), toxicity.Words(10)):
+        got = toxicity.Models(toxicity.counted(docs)).features(ask, words)[:, 0]
+        assert got == pytest.approx(want, abs=1e-5)
+    assert toxicity.Models(toxicity.counted(docs.limit(0))).features(["a b", ""], toxicity.Words()).tolist() == [[0, 0, 0, 0]] * 2
+
+
 def test_logistic_of_one_class():
     w = _fit.logistic(np.ones((3, 2)), np.zeros(3))
     assert (_fit.chance(np.ones((3, 2)), w) < 0.3).all()
