@@ -1,7 +1,7 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns find what is certain: e-mail and IP addresses, card and phone numbers. In documents
-that have any, a random field labels the other tokens with a digit or an @: neighbours in the
+Patterns find what is certain: e-mail and IP addresses, card and phone numbers. In all documents
+a random field labels the other tokens with a digit or an @: neighbours in the
 text share chain potentials, and mentions of the same or a similar string, however far
 apart, share skip potentials. Tokens inside pattern matches are observed; loopy belief
 propagation carries their labels along the links to mentions that the patterns miss, such as
@@ -27,8 +27,10 @@ ship(__name__)
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that train the field, about; of all that hold personal data, those of the smallest hashes.
 MOST_DOCS = 2_000
-#: Belief from which a token becomes a span, rounds of message passing, and the part of a message that is kept.
-BELIEF, ROUNDS, DAMPING = 0.8, 12, 0.3
+#: Belief from which a token becomes a span, the part of a message that is kept, and the change of a message that still counts.
+BELIEF, DAMPING, SETTLED = 0.8, 0.3, 1e-4
+#: Rounds of message passing at most, besides one for each token at hand, as long as any chain is: messages that circle without settling stop there.
+ROUNDS = 100
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -190,7 +192,11 @@ class Field:
         return Field(node, link)
 
     def beliefs(self, graph: Graph) -> np.ndarray:
-        """Each token's chances of the labels, by loopy sum-product with observed tokens held."""
+        """Each token's chances of the labels, by loopy sum-product with observed tokens held.
+
+        Only messages whose inputs changed are sent again, until all have settled, so a label
+        crosses a chain of any length and costs no more than the links it passes.
+        """
         n, kind = len(graph.doc), np.array(graph.kind, np.int64)
         look = np.zeros((n, LABELS))
         for i, own in enumerate(graph.shape):
@@ -203,17 +209,26 @@ class Field:
         source, target = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
         table, m = np.concatenate([table, table.transpose(0, 2, 1)]), len(e)
         back = np.concatenate([np.arange(m) + m, np.arange(m)])
-        sent = np.zeros((2 * m, LABELS))
-        for _ in range(ROUNDS if m else 0):
-            total = look.copy()
-            np.add.at(total, target, sent)
-            own = (total[source] - sent[back])[:, :, None] + table
+        sent, total = np.zeros((2 * m, LABELS)), look.copy()
+        order = np.argsort(source, kind="stable")
+        first = np.searchsorted(source[order], np.arange(n + 1))
+        live, left = np.arange(2 * m), ROUNDS + n
+        while len(live) and left:
+            left -= 1
+            own = (total[source[live]] - sent[back[live]])[:, :, None] + table[live]
             top = own.max(axis=1, keepdims=True)
             new = np.log(np.exp(own - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            sent = DAMPING * sent + (1 - DAMPING) * new
-        total = look.copy()
-        np.add.at(total, target, sent)
+            new = DAMPING * sent[live] + (1 - DAMPING) * new
+            change = new - sent[live]
+            sent[live] = new
+            np.add.at(total, target[live], change)
+            moved = np.abs(change).max(axis=1) > SETTLED
+            at = np.unique(target[live[moved]])
+            # What a moved token sends, and the moved messages themselves, as damping holds part of them back.
+            size = first[at + 1] - first[at]
+            out = order[np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            live = np.union1d(out, live[moved])
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -224,7 +239,7 @@ def find(texts: list[str], field: Field | None) -> list[tuple[list[list], list[l
     every = [[[*own] for own in b] for b in base]
     graph = Graph()
     for k, (t, b) in enumerate(zip(texts, base, strict=True)):
-        if field is not None and any(b):
+        if field is not None:
             graph.add(k, t, b)
     if graph.doc and -1 in graph.kind:
         p = field.beliefs(graph)
@@ -267,7 +282,7 @@ def annotate(docs: DataFrame, field: Field | None) -> DataFrame:
 
     A null text counts as empty and has none. Rows are judged by themselves, so repeated rows
     are alike and an empty table gives no rows; other columns are not read. Added spans have
-    the listed kinds and never overlap a pattern's. A document without pattern spans gets none.
+    the listed kinds and never overlap a pattern's.
     """
     model = docs.sparkSession.sparkContext.broadcast(field)
 

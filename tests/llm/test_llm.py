@@ -73,6 +73,33 @@ def test_pii_field_labels_repeated_mentions(spark):
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
 
 
+def test_pii_field_reaches_all_mentions(spark):
+    texts = [f"Call +1 (415) 555-{1000 + i} now. Call +1 (415) 555-{1000 + i} soon. Later 555-{1000 + i} again, in room {i} of 12." for i in range(200)]
+    field = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    graph = pii.Graph()
+    graph.add(0, "+1 415 555 1234 5551234" + " and 5551234" * 50, [[], [], [], [(0, 15)]])
+    chain = [(i, i + 1) for i in range(len(graph.doc) - 1)]
+    # Only the first token tells anything: its label has to cross all links.
+    graph.links, graph.kind = ([], chain, []), [4] + [-1] * len(chain)
+    graph.shape = [[] for _ in graph.shape]
+    strong = pii.Field(np.zeros_like(field.node), np.array([np.zeros((5, 5)), 8 * np.eye(5), np.zeros((5, 5))]))
+    p = strong.beliefs(graph)
+    exact = np.eye(5)[4]
+    step = np.exp(8 * np.eye(5)) / np.exp(8 * np.eye(5)).sum(axis=0)
+    for own in p:
+        assert own == pytest.approx(exact, abs=1e-2)
+        exact = step @ exact
+    assert (p[:, 4] > 0.9).all()
+    plain = " then ".join(["(415) 555-1234"] * 3)
+    calls = []
+    class Seen(pii.Field):
+        def beliefs(self, graph):
+            calls.append(len(graph.doc))
+            return super().beliefs(graph)
+    pii.find([plain], Seen(field.node, field.link))
+    assert calls == [6]
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
