@@ -1,7 +1,7 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models with absolute discounting.
 
 Two models, of toxic and of ordinary labelled texts, give each word its likelihood by
-interpolated Kneser-Ney over growing prefixes: the word itself, its first six letters, its
+interpolated absolute discounting over growing prefixes: the word itself, its first six letters, its
 first four. Each level is discounted and backs off to the shorter one, and the shortest to
 counts shared by both classes, of all documents of the corpus, labelled or not. Counts are of
 documents, so a word that one text repeats counts once. A text's features are differences of
