@@ -1,7 +1,8 @@
 """Near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words, weighted by how often a text has them times the mean IDF of
-their words. The IDF is of words, from all documents, not of shingles: a text copied a
+their words. Document counts are exact, by 64-bit hash of the word: they grow with the corpus and
+are joined to blocks of texts, each of which looks up its own words. The IDF is of words, from all documents, not of shingles: a text copied a
 thousand times would make its own shingles common and its near copies unlike, and counting
 shingles takes two shuffles of all of them. Sixty consistent samples make each text's
 signature; equal samples are as likely as two texts' weighted Jaccard similarity. Twelve
@@ -21,21 +22,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import lookup, map_slices, ship, slices, stored, text_or_empty
+from ._common import lookup, ship, slices, stored, text_or_empty
 
 ship(__name__)
 SHINGLE, SAMPLES, ROWS, SIMILAR = 5, 60, 5, 0.8
 #: Bands that meet in the first round; in the second all do.
 FIRST_BANDS = 3
-#: Hashed words of the IDF table; its size does not depend on the input.
-IDF_BITS, PIECE = 21, 1 << 16
+#: Bytes of text, about, that look up their words' document counts together.
+BLOCK = 8 << 20
 #: Share of equal samples from which a pair of a tile is verified: 3.5 standard deviations below SIMILAR.
 LOOKS_ALIKE, TILE, FAN = 0.62, 512, 512
-PIECES = pa.schema([("at", pa.int32()), ("docs", pa.int64()), ("data", pa.binary())])
 
 
 def node() -> Column:
@@ -66,41 +66,61 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / (1 + documents with the word)) for all hashes of words. Tasks add up arrays of fixed size, executors sum them by piece."""
+def dealt(batches):
+    """Rows with their block: rows that follow each other in a task, of about BLOCK bytes of text. To be stored, as tasks may be dealt anew."""
+    task, size = TaskContext.get().partitionId(), 0
+    for part in slices(batches):
+        block = task << 32 | size // BLOCK
+        size += part.column("text").nbytes
+        yield part.append_column("block", pa.array([block] * part.num_rows, pa.int64()))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """block, key and n of docs (block, text): in how many rows of the block a word, by its 64-bit hash, is. Counted within a task first."""
 
     def run(batches):
-        words, sums, n = Words(), np.zeros(1 << IDF_BITS, np.int32), 0
+        held: dict[int, tuple[Words, np.ndarray]] = {}
+
+        def sent():
+            for block, (words, sums) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), block, np.int64)), pa.array(words.hash.view(np.int64)), pa.array(sums)], names=["block", "key", "n"])
+
         for part in slices(batches):
-            once = words.numbers([[*set(split_words(t))] for t in part.column("text").to_pylist()])
-            sums += np.bincount((words.hash[once] >> np.uint64(64 - IDF_BITS)).astype(np.int64), minlength=1 << IDF_BITS).astype(np.int32)
-            n += part.num_rows
-        if n:
-            out = [{"at": i, "docs": n if i == 0 else 0, "data": zstandard.compress(sums[i : i + PIECE].tobytes(), 1)} for i in range(0, len(sums), PIECE)]
-            yield pa.RecordBatch.from_pylist(out, schema=PIECES)
-
-    def add(batches):
-        sums: dict[int, list] = {}
-        for part in batches:
-            for r in part.to_pylist():
-                x = np.frombuffer(zstandard.decompress(r["data"]), np.int32)
-                own = sums.setdefault(r["at"], [0, np.zeros(PIECE, np.int64)])
-                own[0] += r["docs"]
-                own[1] += x
-        yield pa.RecordBatch.from_pylist([{"at": i, "docs": n, "data": zstandard.compress(x.tobytes(), 1)} for i, (n, x) in sums.items()], schema=PIECES)
-
-    schema = "at int, docs bigint, data binary"
-    total, counts = 0, np.zeros(1 << IDF_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(run, schema).repartition("at").mapInArrow(add, schema).collect():  # one row for each piece of the table
-        total += r["docs"]
-        counts[r["at"] : r["at"] + PIECE] = np.frombuffer(zstandard.decompress(bytes(r["data"])), np.int64)
+            texts = part.column("text").to_pylist()
+            of: dict[int, list[int]] = {}
+            for i, block in enumerate(part.column("block").to_pylist()):
+                of.setdefault(block, []).append(i)
+            for block, rows in of.items():
+                words, sums = held.get(block) or (Words(1 << 62), np.zeros(0, np.int64))
+                once = words.numbers([[*set(split_words(texts[i]))] for i in rows])
+                sums = np.pad(sums, (0, len(words.hash) - len(sums))) + np.bincount(once, minlength=len(words.hash))
+                held[block] = words, sums
+            if sum(len(x) for _, x in held.values()) > 300_000:
+                yield from sent()
+                held.clear()
+        yield from sent()
+
+    pieces = docs.select("block", "text").mapInArrow(run, "block bigint, key bigint, n bigint")
+    return pieces.groupBy("block", "key").agg(F.sum("n").alias("n"))
+
+
+def idf_of(total: int, counts: np.ndarray) -> np.ndarray:
+    """ln(1 + documents / (1 + documents with the word))."""
     return np.log1p(total / (1.0 + counts)).astype(np.float32)
 
 
+def idf_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all words of small docs, and their IDF, from exact counts. ``Finder`` looks words up block by block instead."""
+    rows = word_counts(docs.select(F.lit(0).cast("bigint").alias("block"), "text")).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], idf_of(docs.count(), rows.column("n").to_numpy())[order]
+
+
 class Sampler:
-    """Weighted shingles and signatures of texts, for an IDF table."""
+    """Weighted shingles and signatures of texts, for the IDF of their words: sorted hashes and values. Without a table, texts come with their words' IDF."""
 
-    def __init__(self, idf: np.ndarray):
+    def __init__(self, idf: tuple[np.ndarray, np.ndarray] | None = None):
         self.table, self.words = idf, Words()
         rng = np.random.default_rng(20240229)
         self.a = rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,21 +131,35 @@ class Sampler:
         quantile = lambda bits: np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), cdf, x)
         self.r, self.log_c = quantile(14).astype(np.float32), np.log(quantile(16)).astype(np.float32)
 
-    def weighted(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its different shingles' hashes, sorted, and their weights. A text of fewer than five words is one shingle."""
+    def look_up(self, texts: list[str]) -> list[bytes]:
+        """The IDF of each text's words, one after the other, as 32-bit floats."""
+        split = [split_words(t) for t in texts]
+        every = self.words.numbers(split)
+        ends = np.cumsum([0, *map(len, split)])
+        idf = self.known_idf()[every]
+        return [idf[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def known_idf(self) -> np.ndarray:
+        words = self.words
+        if len(words.idf) < len(words.hash):
+            keys, idf = self.table
+            words.idf = np.append(words.idf, idf[np.searchsorted(keys, words.hash[len(words.idf) :])])
+        return words.idf
+
+    def weighted(self, texts: list[str], idfs: list[bytes] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its different shingles' hashes, sorted, and their weights. A text of fewer than five words is one shingle. idfs: as of ``look_up``."""
         words = self.words
         split = [split_words(t) for t in texts]
         every = words.numbers(split)
-        if len(words.idf) < len(words.hash):
-            words.idf = np.append(words.idf, self.table[(words.hash[len(words.idf) :] >> np.uint64(64 - IDF_BITS)).astype(np.int64)])
+        idf_of_all = self.known_idf()[every] if idfs is None else np.frombuffer(b"".join(idfs), np.float32)
         out, end = [], 0
         for n in map(len, split):
-            own, end = every[end : end + n], end + n
+            own, values, end = every[end : end + n], idf_of_all[end : end + n], end + n
             if not n:
                 out.append((np.zeros(0, np.uint64), np.zeros(0, np.float32)))
                 continue
             k = min(SHINGLE, n)
-            h, idf = words.hash[own], words.idf[own]
+            h, idf = words.hash[own], values
             x, w = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.float32)
             for i in range(k):
                 x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(x)]
@@ -226,26 +260,47 @@ class Finder:
     def __init__(self, docs: DataFrame, make=None):
         """make: called in tasks, gives an object with signatures() and weighted(); else a Sampler for the IDF of docs."""
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", node().alias("node"))
-        if make is None:
-            idf = self.spark.sparkContext.broadcast(idf_table(self.docs))
-            make = lambda: Sampler(idf.value)
-        self.make = make
-
-        def sign(part, sampler):
-            s = sampler.signatures([t or "" for t in part.column("text").to_pylist()])
-            # 16 bits of each sample are enough to compare signatures.
-            short = ((s * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
-            return {"doc_id": part.column("doc_id"), "node": part.column("node"), "keys": list(bands(s)), "sig": [x.tobytes() for x in short]}
-
-        self.rows = stored(map_slices(self.docs, sign, "doc_id bigint, node binary, keys array<bigint>, sig binary", start=make), "signatures")
+        slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", node().alias("node"))
+        slim = stored(slim.mapInArrow(dealt, "doc_id bigint, text string, node binary, block bigint"), "blocks")
+        total = slim.count()
+        self.make = make or Sampler
+        exact = make is None
+
+        def sign(left, right):
+            if exact:
+                keys = right.column("key").to_numpy().view(np.uint64)
+                order = np.argsort(keys)
+                sampler = Sampler((keys[order], idf_of(total, right.column("n").to_numpy())[order]))
+            else:
+                sampler = make()
+            out = []
+            for part in slices(left.to_batches()):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                s = sampler.signatures(texts)
+                # 16 bits of each sample are enough to compare signatures.
+                short = ((s * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
+                idfs = sampler.look_up(texts) if exact else [None] * len(texts)
+                columns = [part.column("doc_id"), part.column("node"), part.column("text"), pa.array(idfs, pa.binary()), pa.array(list(bands(s)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())]
+                out.append(pa.RecordBatch.from_arrays(columns, schema=signed))
+            return pa.Table.from_batches(out, signed)
+
+        signed = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("text", pa.string()), ("idf", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+        if exact:
+            counts = stored(word_counts(slim), "counts")
+            of_word = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
+            held = lookup(counts.select("block", "key"), stored(of_word, "of_word"), "key", "blocks", counts.count())
+        else:
+            held = self.spark.createDataFrame([], "block bigint, key bigint, n bigint")
+        both = slim.groupBy("block").cogroup(held.select("block", "key", "n").groupBy("block"))
+        self.docs = stored(both.applyInArrow(sign, "doc_id bigint, node binary, text string, idf binary, keys array<bigint>, sig binary"), "signatures")
+        self.rows = self.docs.select("doc_id", "node", "keys", "sig")
         self.nodes = stored(self.rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
         every = self.nodes.select("node", F.posexplode("keys").alias("band", "key"))
         full = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "full")
         self.total = self.nodes.count() * (SAMPLES // ROWS)
         self.members = stored(lookup(every, full, "key", "n", self.total).select("key", "band", "node"), "buckets")
         asked = self.members.select("node").distinct()
-        self.texts = stored(self.docs.groupBy("node").agg(F.first("text").alias("text")).join(asked, "node", "left_semi"), "texts")
+        self.texts = stored(self.docs.groupBy("node").agg(F.first(F.struct("text", "idf")).alias("text")).join(asked, "node", "left_semi"), "texts")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b, fan), those whose texts are similar. fan: over how many copies of b's text its pairs are spread."""
@@ -255,9 +310,11 @@ class Finder:
         held = pairs.join(right, ["b", "fan", "part"]).select("a", "b", "text_b")
         held = held.join(self.texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
         make = self.make
+        held = held.select("a", "b", "text.text", "text.idf", F.col("text_b.text").alias("text_b"), F.col("text_b.idf").alias("idf_b"))
 
         def check(batches):
             sampler, known = make(), {}
+            sets = lambda text, idf: (sampler.weighted([text or ""]) if idf is None else sampler.weighted([text or ""], [idf]))[0]
             for part in slices(batches):
                 rows = part.to_pylist()
                 good = []
@@ -265,8 +322,8 @@ class Finder:
                     if r["b"] not in known:
                         if len(known) > 64:
                             known.clear()
-                        known[r["b"]] = sampler.weighted([r["text_b"] or ""])[0]
-                    if similarity(sampler.weighted([r["text"] or ""])[0], known[r["b"]]) >= SIMILAR:
+                        known[r["b"]] = sets(r["text_b"], r["idf_b"])
+                    if similarity(sets(r["text"], r["idf"]), known[r["b"]]) >= SIMILAR:
                         good.append((r["a"], r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -308,7 +365,7 @@ class Finder:
         before = F.transform(span(0, F.least(F.col("tile"), F.col("odd")) - 1), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j")))
         after = F.transform(F.when(F.col("tile") < F.col("odd"), F.sequence(F.col("tile"), F.col("odd") + F.col("even") - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
         held = held.withColumn("at", F.explode(F.concat(before, after))).select("key", "at.i", "at.j", "tile", "node", "label")
-        held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts, "node")
+        held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts.select("node", "text.text", "text.idf"), "node")
         make, made = self.make, []
 
         def alike(key, table):
@@ -316,7 +373,7 @@ class Finder:
                 made.append(make())
             i, j, sampler, sets = key[1].as_py(), key[2].as_py(), made[0], {}
             tile = np.array(table.column("tile").to_pylist())
-            nodes, texts = table.column("node").to_pylist(), table.column("text")
+            nodes, texts, idfs = table.column("node").to_pylist(), table.column("text"), table.column("idf")
             number: dict[bytes, int] = {}
             group = np.array([number.setdefault(x, len(number)) for x in table.column("label").to_pylist()])
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, SAMPLES)
@@ -324,7 +381,8 @@ class Finder:
 
             def shingles(x):
                 if x not in sets:
-                    sets[x] = sampler.weighted([texts[x].as_py()])[0]
+                    own = [texts[x].as_py() or ""]
+                    sets[x] = (sampler.weighted(own, [idfs[x].as_py()]) if idfs[x].is_valid else sampler.weighted(own))[0]
                 return sets[x]
 
             links = []

@@ -257,6 +257,22 @@ def test_near_dedup_equals_brute_force(spark, plain):
         assert sorted(r["doc_id"] for r in kept) == sorted(set(own))
 
 
+def test_near_dedup_counts_words_exactly(spark):
+    rng, texts = random.Random(6), []
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    for _ in range(600):
+        texts.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))))
+    texts += [None, "", "a b", "a c", "a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    of = {}
+    for t in texts:
+        for w in set((t or "").split()):
+            of[w] = of.get(w, 0) + 1
+    want = {i: [np.log1p(len(texts) / (1.0 + of[w])) for w in (t or "").split()] for i, t in enumerate(texts)}
+    for r in near_dedup.Finder(docs).docs.collect():
+        assert np.frombuffer(r["idf"], np.float32).tolist() == pytest.approx(want[r["doc_id"]], rel=1e-6)
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD) and len({r["class_id"] for r in rows if r["doc_id"] in (1, 4)}) == 1
