@@ -33,6 +33,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one made of it that no column has; Spark does not tell cases apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one set here."""
     sc = spark.sparkContext

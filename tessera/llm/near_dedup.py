@@ -1,8 +1,11 @@
 """Near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words, weighted by how often a text has them times the mean IDF of
-their words. Document counts are exact, by 64-bit hash of the word: they grow with the corpus and
-are joined to blocks of texts, each of which looks up its own words. The IDF is of words, from all documents, not of shingles: a text copied a
+their words. The documents with a word are counted exactly, by 64-bit hash, over all documents. The
+IDF is ln(1 + documents / (1 + documents with the word)) and saturates for rare words: a word
+in no more documents than the 2**-20th part of all (document, word) pairs counts as if it were
+in so many. Fewer than 2**20 words can be in more, so the table that tasks look up is
+bounded at any input size, exact, and the same rule holds at every size. The IDF is of words, not of shingles: a text copied a
 thousand times would make its own shingles common and its near copies unlike, and counting
 shingles takes two shuffles of all of them. Sixty consistent samples make each text's
 signature; equal samples are as likely as two texts' weighted Jaccard similarity. Twelve
@@ -22,18 +25,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lookup, ship, slices, stored, text_or_empty
+from ._common import lookup, map_slices, ship, slices, stored, text_or_empty
 
 ship(__name__)
 SHINGLE, SAMPLES, ROWS, SIMILAR = 5, 60, 5, 0.8
 #: Bands that meet in the first round; in the second all do.
 FIRST_BANDS = 3
-#: Bytes of text, about, that look up their words' document counts together.
-BLOCK = 8 << 20
+#: More words than this can't be in over a 1/FREQUENT of all (document, word) pairs; rarer ones share the largest IDF.
+FREQUENT = 1 << 20
 #: Share of equal samples from which a pair of a tile is verified: 3.5 standard deviations below SIMILAR.
 LOOKS_ALIKE, TILE, FAN = 0.62, 512, 512
 
@@ -66,42 +68,24 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def dealt(batches):
-    """Rows with their block: rows that follow each other in a task, of about BLOCK bytes of text. To be stored, as tasks may be dealt anew."""
-    task, size = TaskContext.get().partitionId(), 0
-    for part in slices(batches):
-        block = task << 32 | size // BLOCK
-        size += part.column("text").nbytes
-        yield part.append_column("block", pa.array([block] * part.num_rows, pa.int64()))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
-    """block, key and n of docs (block, text): in how many rows of the block a word, by its 64-bit hash, is. Counted within a task first."""
+    """key and n: how many rows of docs (text) have a word, by its 64-bit hash. A task counts its rows first and sends each word once, or once for each time its table is full."""
 
     def run(batches):
-        held: dict[int, tuple[Words, np.ndarray]] = {}
+        words, sums = Words(1 << 62), np.zeros(0, np.int64)
 
         def sent():
-            for block, (words, sums) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), block, np.int64)), pa.array(words.hash.view(np.int64)), pa.array(sums)], names=["block", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(sums)], names=["key", "n"])
 
         for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            of: dict[int, list[int]] = {}
-            for i, block in enumerate(part.column("block").to_pylist()):
-                of.setdefault(block, []).append(i)
-            for block, rows in of.items():
-                words, sums = held.get(block) or (Words(1 << 62), np.zeros(0, np.int64))
-                once = words.numbers([[*set(split_words(texts[i]))] for i in rows])
-                sums = np.pad(sums, (0, len(words.hash) - len(sums))) + np.bincount(once, minlength=len(words.hash))
-                held[block] = words, sums
-            if sum(len(x) for _, x in held.values()) > 300_000:
-                yield from sent()
-                held.clear()
-        yield from sent()
-
-    pieces = docs.select("block", "text").mapInArrow(run, "block bigint, key bigint, n bigint")
-    return pieces.groupBy("block", "key").agg(F.sum("n").alias("n"))
+            once = words.numbers([[*set(split_words(t))] for t in part.column("text").to_pylist()])
+            sums = np.pad(sums, (0, len(words.hash) - len(sums))) + np.bincount(once, minlength=len(words.hash))
+            if len(sums) > 400_000:
+                yield sent()
+                words, sums = Words(1 << 62), np.zeros(0, np.int64)
+        yield sent()
+
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def idf_of(total: int, counts: np.ndarray) -> np.ndarray:
@@ -110,17 +94,19 @@ def idf_of(total: int, counts: np.ndarray) -> np.ndarray:
 
 
 def idf_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of all words of small docs, and their IDF, from exact counts. ``Finder`` looks words up block by block instead."""
-    rows = word_counts(docs.select(F.lit(0).cast("bigint").alias("block"), "text")).toArrow()
+    """Sorted hashes of the frequent words of docs and their IDF; one more value at the end is that of all others."""
+    counts = stored(word_counts(docs), "counts")
+    floor = (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    rows = counts.filter(F.col("n") > floor).toArrow()
     keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], idf_of(docs.count(), rows.column("n").to_numpy())[order]
+    return keys[order], idf_of(docs.count(), np.append(rows.column("n").to_numpy()[order], floor))
 
 
 class Sampler:
-    """Weighted shingles and signatures of texts, for the IDF of their words: sorted hashes and values. Without a table, texts come with their words' IDF."""
+    """Weighted shingles and signatures of texts, for an IDF table."""
 
-    def __init__(self, idf: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, idf: tuple[np.ndarray, np.ndarray]):
         self.table, self.words = idf, Words()
         rng = np.random.default_rng(20240229)
         self.a = rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,35 +117,29 @@ class Sampler:
         quantile = lambda bits: np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), cdf, x)
         self.r, self.log_c = quantile(14).astype(np.float32), np.log(quantile(16)).astype(np.float32)
 
-    def look_up(self, texts: list[str]) -> list[bytes]:
-        """The IDF of each text's words, one after the other, as 32-bit floats."""
-        split = [split_words(t) for t in texts]
-        every = self.words.numbers(split)
-        ends = np.cumsum([0, *map(len, split)])
-        idf = self.known_idf()[every]
-        return [idf[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def known_idf(self) -> np.ndarray:
-        words = self.words
-        if len(words.idf) < len(words.hash):
-            keys, idf = self.table
-            words.idf = np.append(words.idf, idf[np.searchsorted(keys, words.hash[len(words.idf) :])])
-        return words.idf
+    def idf(self, hashes: np.ndarray) -> np.ndarray:
+        """The IDF of words' hashes."""
+        keys, values = self.table
+        if not len(keys):
+            return np.full(len(hashes), values[-1], np.float32)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, values[at], values[-1])
 
-    def weighted(self, texts: list[str], idfs: list[bytes] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its different shingles' hashes, sorted, and their weights. A text of fewer than five words is one shingle. idfs: as of ``look_up``."""
+    def weighted(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its different shingles' hashes, sorted, and their weights. A text of fewer than five words is one shingle."""
         words = self.words
         split = [split_words(t) for t in texts]
         every = words.numbers(split)
-        idf_of_all = self.known_idf()[every] if idfs is None else np.frombuffer(b"".join(idfs), np.float32)
+        if len(words.idf) < len(words.hash):
+            words.idf = np.append(words.idf, self.idf(words.hash[len(words.idf) :]))
         out, end = [], 0
         for n in map(len, split):
-            own, values, end = every[end : end + n], idf_of_all[end : end + n], end + n
+            own, end = every[end : end + n], end + n
             if not n:
                 out.append((np.zeros(0, np.uint64), np.zeros(0, np.float32)))
                 continue
             k = min(SHINGLE, n)
-            h, idf = words.hash[own], values
+            h, idf = words.hash[own], words.idf[own]
             x, w = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.float32)
             for i in range(k):
                 x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(x)]
@@ -212,7 +192,7 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     n = signatures.shape[1] // ROWS
     out = np.tile(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(signatures), 1))
     for i in range(ROWS):
-        out = (out ^ signatures[:, i::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ signatures[:, i : n * ROWS : ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
     return out.view(np.int64)
 
@@ -257,50 +237,29 @@ def hooked(links: DataFrame, jumps: int, name: str) -> DataFrame:
 class Finder:
     """The steps of one search; ``classes`` runs them all."""
 
-    def __init__(self, docs: DataFrame, make=None):
-        """make: called in tasks, gives an object with signatures() and weighted(); else a Sampler for the IDF of docs."""
-        self.spark = docs.sparkSession
-        slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", node().alias("node"))
-        slim = stored(slim.mapInArrow(dealt, "doc_id bigint, text string, node binary, block bigint"), "blocks")
-        total = slim.count()
-        self.make = make or Sampler
-        exact = make is None
-
-        def sign(left, right):
-            if exact:
-                keys = right.column("key").to_numpy().view(np.uint64)
-                order = np.argsort(keys)
-                sampler = Sampler((keys[order], idf_of(total, right.column("n").to_numpy())[order]))
-            else:
-                sampler = make()
-            out = []
-            for part in slices(left.to_batches()):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                s = sampler.signatures(texts)
-                # 16 bits of each sample are enough to compare signatures.
-                short = ((s * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
-                idfs = sampler.look_up(texts) if exact else [None] * len(texts)
-                columns = [part.column("doc_id"), part.column("node"), part.column("text"), pa.array(idfs, pa.binary()), pa.array(list(bands(s)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())]
-                out.append(pa.RecordBatch.from_arrays(columns, schema=signed))
-            return pa.Table.from_batches(out, signed)
-
-        signed = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("text", pa.string()), ("idf", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
-        if exact:
-            counts = stored(word_counts(slim), "counts")
-            of_word = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
-            held = lookup(counts.select("block", "key"), stored(of_word, "of_word"), "key", "blocks", counts.count())
-        else:
-            held = self.spark.createDataFrame([], "block bigint, key bigint, n bigint")
-        both = slim.groupBy("block").cogroup(held.select("block", "key", "n").groupBy("block"))
-        self.docs = stored(both.applyInArrow(sign, "doc_id bigint, node binary, text string, idf binary, keys array<bigint>, sig binary"), "signatures")
-        self.rows = self.docs.select("doc_id", "node", "keys", "sig")
+    def __init__(self, docs: DataFrame, make=None, samples: int = SAMPLES):
+        """make: called in tasks, gives an object with signatures() of so many samples and weighted(); else a Sampler for the IDF of docs."""
+        self.spark, self.samples, self.bands = docs.sparkSession, samples, samples // ROWS
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", node().alias("node"))
+        if make is None:
+            idf = self.spark.sparkContext.broadcast(idf_table(self.docs))  # at most FREQUENT words
+            make = lambda: Sampler(idf.value)
+        self.make = make
+
+        def sign(part, sampler):
+            s = sampler.signatures([t or "" for t in part.column("text").to_pylist()])
+            # 16 bits of each sample are enough to compare signatures.
+            short = ((s * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
+            return {"doc_id": part.column("doc_id"), "node": part.column("node"), "keys": list(bands(s)), "sig": [x.tobytes() for x in short]}
+
+        self.rows = stored(map_slices(self.docs, sign, "doc_id bigint, node binary, keys array<bigint>, sig binary", start=make), "signatures")
         self.nodes = stored(self.rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
         every = self.nodes.select("node", F.posexplode("keys").alias("band", "key"))
         full = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "full")
-        self.total = self.nodes.count() * (SAMPLES // ROWS)
+        self.total = self.nodes.count() * (self.bands)
         self.members = stored(lookup(every, full, "key", "n", self.total).select("key", "band", "node"), "buckets")
         asked = self.members.select("node").distinct()
-        self.texts = stored(self.docs.groupBy("node").agg(F.first(F.struct("text", "idf")).alias("text")).join(asked, "node", "left_semi"), "texts")
+        self.texts = stored(self.docs.groupBy("node").agg(F.first("text").alias("text")).join(asked, "node", "left_semi"), "texts")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b, fan), those whose texts are similar. fan: over how many copies of b's text its pairs are spread."""
@@ -310,11 +269,9 @@ class Finder:
         held = pairs.join(right, ["b", "fan", "part"]).select("a", "b", "text_b")
         held = held.join(self.texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
         make = self.make
-        held = held.select("a", "b", "text.text", "text.idf", F.col("text_b.text").alias("text_b"), F.col("text_b.idf").alias("idf_b"))
 
         def check(batches):
             sampler, known = make(), {}
-            sets = lambda text, idf: (sampler.weighted([text or ""]) if idf is None else sampler.weighted([text or ""], [idf]))[0]
             for part in slices(batches):
                 rows = part.to_pylist()
                 good = []
@@ -322,8 +279,8 @@ class Finder:
                     if r["b"] not in known:
                         if len(known) > 64:
                             known.clear()
-                        known[r["b"]] = sets(r["text_b"], r["idf_b"])
-                    if similarity(sets(r["text"], r["idf"]), known[r["b"]]) >= SIMILAR:
+                        known[r["b"]] = sampler.weighted([r["text_b"] or ""])[0]
+                    if similarity(sampler.weighted([r["text"] or ""])[0], known[r["b"]]) >= SIMILAR:
                         good.append((r["a"], r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -355,7 +312,7 @@ class Finder:
         compares signatures first and verifies what looks alike and is not joined yet, so it
         returns fewer links than it has members.
         """
-        own = stored(self.labelled(labels, SAMPLES // ROWS), "labelled")
+        own = stored(self.labelled(labels, self.bands), "labelled")
         by_label = own.groupBy("key", "label").agg(F.count("*").alias("n"))
         mixed = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
         mixed = mixed.select("key", F.col("top.label").alias("common"), F.col("n"), F.ceil((F.col("n") - F.col("top.n")) / TILE).alias("odd"), F.ceil(F.col("top.n") / TILE).alias("even"))
@@ -365,24 +322,23 @@ class Finder:
         before = F.transform(span(0, F.least(F.col("tile"), F.col("odd")) - 1), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j")))
         after = F.transform(F.when(F.col("tile") < F.col("odd"), F.sequence(F.col("tile"), F.col("odd") + F.col("even") - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
         held = held.withColumn("at", F.explode(F.concat(before, after))).select("key", "at.i", "at.j", "tile", "node", "label")
-        held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts.select("node", "text.text", "text.idf"), "node")
-        make, made = self.make, []
+        held = held.join(self.nodes.select("node", "sig"), "node").join(self.texts, "node")
+        make, made, samples = self.make, [], self.samples
 
         def alike(key, table):
             if not made:  # once in each task
                 made.append(make())
             i, j, sampler, sets = key[1].as_py(), key[2].as_py(), made[0], {}
             tile = np.array(table.column("tile").to_pylist())
-            nodes, texts, idfs = table.column("node").to_pylist(), table.column("text"), table.column("idf")
+            nodes, texts = table.column("node").to_pylist(), table.column("text")
             number: dict[bytes, int] = {}
             group = np.array([number.setdefault(x, len(number)) for x in table.column("label").to_pylist()])
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, SAMPLES)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, samples)
             left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
 
             def shingles(x):
                 if x not in sets:
-                    own = [texts[x].as_py() or ""]
-                    sets[x] = (sampler.weighted(own, [idfs[x].as_py()]) if idfs[x].is_valid else sampler.weighted(own))[0]
+                    sets[x] = sampler.weighted([texts[x].as_py() or ""])[0]
                 return sets[x]
 
             links = []
@@ -401,7 +357,7 @@ class Finder:
     def classes(self) -> DataFrame:
         """node, label (of its class), class_id (its smallest doc_id), class_size (documents) and copies of all nodes."""
         links = self.meet(None, FIRST_BANDS, "links")
-        links = links.union(self.meet(hooked(links, 1, "first"), SAMPLES // ROWS, "links"))
+        links = links.union(self.meet(hooked(links, 1, "first"), self.bands, "links"))
         links = links.union(self.compare(hooked(links, 3, "second")))
         labels = components(links, "labels")
         own = self.nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
@@ -410,7 +366,7 @@ class Finder:
         return stored(lookup(own, stored(of_label, "classes"), "label", "n", self.total).select("node", "label", "class_id", "class_size", "copies"), "node_classes")
 
 
-def near_duplicates(docs: DataFrame, make=None) -> DataFrame:
+def near_duplicates(docs: DataFrame, make=None, samples: int = SAMPLES) -> DataFrame:
     """doc_id, node, label, class_id, class_size and kept of each row of docs (doc_id, text).
 
     Documents are in one class if a chain of links of similarity 0.8 or more joins them. A
@@ -419,7 +375,7 @@ def near_duplicates(docs: DataFrame, make=None) -> DataFrame:
     four words is one shingle. Equal texts and repeated rows share a class. An empty table
     gives no rows. Other columns are not read.
     """
-    finder = Finder(docs, make)
+    finder = Finder(docs, make, samples)
     out = lookup(finder.rows.select("doc_id", "node"), finder.classes(), "node", "copies", finder.total)
     return out.select("doc_id", "node", "label", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -429,9 +385,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class: of those with its smallest doc_id, that with the smallest text hash; of equal rows any."""
+    """One row of each class: of those with its smallest doc_id, that with the smallest text hash; of rows alike in both, the one whose other columns have the smallest hash.
+
+    All columns of docs stay, whatever their names; an empty table gives no rows; a null text counts as empty.
+    """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
-    kept = near_duplicates(docs).groupBy("label").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_node"))
-    held = docs.join(stored(kept, "kept"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (node() == F.col("_node")))
-    one = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))
-    return held.withColumn("_one", one).filter("_one = 1").select(docs.columns)
+    kept = stored(near_duplicates(docs).groupBy("label").agg(least).select("least.doc_id", "least.node"), "kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), node().alias("node"))
+    held = packed.join(kept, packed["id"].eqNullSafe(kept["doc_id"]) & (packed["node"] == kept["node"])).select(packed["row"], packed["id"], packed["node"])
+    one = held.groupBy("id", "node").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row.*")
