@@ -2,7 +2,9 @@
 
 Each of K universal hash functions permutes the word shingles of a text; the smallest
 values, 16 bits of each, are its fingerprint, and the share of equal places estimates
-Jaccard similarity. All texts of a slice are hashed together in numpy.
+Jaccard similarity. All texts of a slice are hashed together in numpy. Bands of the same
+fingerprints, joined in Spark, bring like texts together, and their links are verified by the
+Jaccard similarity of the whole texts' shingles (``similar``).
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ class Sets:
     """Fingerprints for the search of near_dedup: plain sets of shingles, so every weight is 1."""
 
     def __init__(self):
-        self.hash = MinHash(near_dedup.SAMPLES)
+        self.hash = MinHash()
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         return self.hash.signatures(texts)
@@ -106,8 +108,11 @@ class Sets:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """Classes of documents linked by Jaccard similarity 0.8 or more: bands of the fingerprints are joined, links verified on whole texts; rows as of near_dedup.near_duplicates."""
-    return near_dedup.near_duplicates(docs, Sets)
+    """Classes of documents linked by Jaccard similarity 0.8 or more: bands of the fingerprints are joined, links verified on whole texts; rows as of near_dedup.near_duplicates.
+
+    25 bands of 5 of the 128 places miss a pair at similarity 0.8 with a chance of 5 in 100,000.
+    """
+    return near_dedup.near_duplicates(docs, Sets, K)
 
 
 EDIT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -118,22 +123,15 @@ def edited(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n/2) code points replaced by the first
     as many (or all) of the next row's, in ascending doc_id, after the last the first. Null
-    doc_ids come first; rows that share a doc_id are ordered by text, wholly equal ones are
-    next to each other. A null text counts as empty; a table of one row follows itself.
+    doc_ids come first; rows that share a doc_id are ordered by a hash of their text, wholly equal ones are
+    next to each other. A null text counts as empty, texts of any length are signed whole; a table of one row follows itself, an
+    empty one gives no rows. Other columns are not read.
 
-    Fingerprints are made before the only shuffle, by range of doc_id, which carries them
-    and compressed texts. In each partition rows meet their next; what is left are
+    Texts are dealt once, by range of doc_id and that hash, so one doc_id, or null, may hold any share of the rows. In
+    each partition every text is signed once and rows meet their next; what is left are
     the partitions' edges, one text each, joined in a second small step.
     """
 
-    def sign(batches):
-        h, pack = MinHash(), zstandard.ZstdCompressor(level=3)
-        for part in slices(batches):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            sigs = [s.tobytes() for s in h.signatures(texts)]
-            packed = [pack.compress(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(sigs, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "sig", "packed"])
-
     def compare(rows: list[tuple], h: MinHash):
         """rows: (doc_id, sig, text, next sig, next text)."""
         texts = []
@@ -146,9 +144,6 @@ def edited(docs: DataFrame) -> DataFrame:
             out.append((doc_id, len(text), hashlib.sha256(t.encode()).hexdigest(), hexed(sig), hexed(s), likeness(sig, s), likeness(sig, next_sig)))
         return out
 
-    def unpack(row):
-        return np.frombuffer(row["sig"], np.uint32), zstandard.decompress(row["packed"]).decode() if row["packed"] else ""
-
     names = [x.split()[0] for x in EDIT.split(", ")]
 
     def batch(out: list[tuple], edges: list[tuple] = ()):
@@ -161,34 +156,29 @@ def edited(docs: DataFrame) -> DataFrame:
     def meet(batches):
         from pyspark import TaskContext
 
-        here, h, held, last, pending = TaskContext.get().partitionId(), MinHash(), None, None, []
-        weight = 0
-        for part in slices(batches, "packed"):
-            for row in part.to_pylist():
-                sig, text = unpack(row)
-                if held is None:
-                    yield batch([], [("head", here, row["doc_id"], row["sig"], row["packed"])])
-                else:
-                    pending.append((held[0], held[1], held[2], sig, text))
-                    weight += len(held[2]) + len(text)
-                held, last = (row["doc_id"], sig, text), row
-                if len(pending) >= 512 or weight > 4 << 20:
-                    yield batch(compare(pending, h))
-                    pending, weight = [], 0
-        if pending:
-            yield batch(compare(pending, h))
+        here, h, held = TaskContext.get().partitionId(), MinHash(), None
+        edge = lambda role, row: (role, here, row[0], row[1].tobytes(), zstandard.compress(row[2].encode()))
+        for part in slices(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            rows = list(zip(part.column("doc_id").to_pylist(), h.signatures(texts), texts, strict=True))
+            if held is None:
+                yield batch([], [edge("head", rows[0])])
+            else:
+                rows.insert(0, held)
+            held = rows[-1]
+            yield batch(compare([(*x, *y[1:]) for x, y in zip(rows, rows[1:])], h) if len(rows) > 1 else [])
         if held is not None:
-            yield batch([], [("tail", here, last["doc_id"], last["sig"], last["packed"])])
+            yield batch([], [edge("tail", held)])
 
     def join(batches):
         h = MinHash()
+        value = lambda sig, packed: (np.frombuffer(sig, np.uint32), zstandard.decompress(packed).decode() if packed else "")
         for part in batches:
-            rows = [(x["doc_id"], *unpack(x), *unpack({"sig": x["next_sig"], "packed": x["next_packed"]})) for x in part.to_pylist()]
+            rows = [(x["doc_id"], *value(x["sig"], x["packed"]), *value(x["next_sig"], x["next_packed"])) for x in part.to_pylist()]
             yield batch(compare(rows, h)).select(names) if rows else batch([]).select(names)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    signed = slim.mapInArrow(sign, "doc_id bigint, tie bigint, sig binary, packed binary")
-    met = signed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").mapInArrow(meet, f"{EDIT}, role string, part int, sig binary, packed binary")
+    met = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(meet, f"{EDIT}, role string, part int, sig binary, packed binary")
     met = stored(met, "met")
     edges = met.filter("role IS NOT NULL").select("role", "part", "doc_id", "sig", "packed")
     heads, tails = edges.filter("role = 'head'"), edges.filter("role = 'tail'")
@@ -199,5 +189,10 @@ def edited(docs: DataFrame) -> DataFrame:
     return met.filter("role IS NULL").select(*names).unionByName(tail)
 
 
+def classes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints' other half over all documents: doc_id, class_id, class_size, kept."""
+    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "label")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mix": mixing.query,
     "op9_near_dedup": near_dedup.query,
     "op10_fingerprints": fingerprints.query,
+    "fingerprint_classes": fingerprints.classes_query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL}
