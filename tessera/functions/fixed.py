@@ -7,6 +7,11 @@ ARABIC_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "0123456789"
 LETTERS_FROM, LETTERS_TO = "أإآٱىةؤئ", "اااايهوي"
 LAM_ALEF = {"ﻻ": "لا", "ﻼ": "لا", "ﻵ": "لآ", "ﻶ": "لآ", "ﻷ": "لأ", "ﻸ": "لأ", "ﻹ": "لإ", "ﻺ": "لإ"}
 ARABIC_SHARE = 0.4
+#: Characters that compatibility composition (NFKC) never changes, whatever stands next to them.
+STABLE = r"\t\n\x0B\f\r\x20-\x7E¡-§©«®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƒ‐‒-―‘-‟†‡•€؀-ْٖ-ٴٹ-ۿ"
+#: A lone letter of this script before others and a word; runs of alef and lam.
+LONE_LETTER = r"(?<![؀-ۿ])([؀-ۿ]) (?=(?:[؀-ۿ] )*[؀-ۿ]{2})"
+ALEF, LAM = "ا", "ل"
 
 # Tokens and words without meaning of their own.
 TOKEN = "[a-zA-ZÀ-ÿ]+|[؀-ۿ]+|\\d+"
@@ -36,6 +41,8 @@ UNITS = {
     "circulaire": r"(?i)\bCirculaire\s+n[°o]?\s*([\d/\-]+)",
 }
 UNIT_GROUPS = {"rubrique": ("rubrique",), "section": ("circulaire", "article_fr")}
+HEADING_FR = (r"^Article\s+", r"\b(?!\s*(ci-|du |de la |de l'|des ))")
+HEADING_AR = (r"^(الماد[ةه]\s*[:\-]?\s*", r"\b|", r"\s*الماد[ةه])")
 
 # What an answer says that has too little to go on, and what is asked of a model.
 REFUSAL = "INFORMATION INSUFFISANTE"
@@ -55,5 +62,22 @@ QUESTION : {question}
 
 REPONSE :"""
 
+# What is asked of a judge.
+FAITHFULNESS = """Tu es un evaluateur rigoureux. On te donne une QUESTION,
+des PASSAGES SOURCES, et une REPONSE generee.
+
+Decoupe la REPONSE en affirmations elementaires. Pour chacune, dis si elle est
+DIRECTEMENT soutenue par les PASSAGES (oui/non). Une affirmation vraie dans
+l'absolu mais absente des passages compte comme NON soutenue.
+
+Retourne uniquement du JSON :
+{"affirmations": [{"texte": "...", "soutenue": true, "passage": 2}],
+  "score": <nb_soutenues / nb_total>}
+
+QUESTION: {question}
+PASSAGES: {contexts}
+REPONSE: {answer}
+"""
+
 # Defaults of the operators.
 RRF_K, BM25_K1, BM25_B, COPY_ALERT = 60, 1.5, 0.75, 0.5

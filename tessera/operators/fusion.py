@@ -87,13 +87,19 @@ def balanced(ranked: DataFrame, group: str, total: int = 30, least: int = 2) ->
 def resolve(passages: DataFrame, topic: str, authority: str, published: str, key: str) -> DataFrame:
     """Of each topic the passage that holds: most authority, then latest, then smallest key; how many give way, and whether they conflict.
 
-    Partial maxima are merged, so no topic is sorted whole.
+    Partial maxima are merged, so no topic is sorted whole. ``set_aside`` has those that give way.
     """
     best = F.max(F.struct(F.col(authority).alias("authority"), F.col(published).alias("published"), (-F.col(key)).alias("back"), F.col(key).alias("kept")))
     found = passages.groupBy(topic).agg(best.alias("best"), F.count("*").alias("n"), F.min(authority).alias("low"), F.max(authority).alias("high"))
     return found.select(topic, F.col("best.kept").alias("kept"), (F.col("n") - 1).alias("n_set_aside"), (F.col("low") < F.col("high")).alias("conflict"))
 
 
+def set_aside(passages: DataFrame, topic: str, authority: str, published: str, key: str) -> DataFrame:
+    """The passages that give way, all their columns, with ``kept``, the key of the one that holds instead of them."""
+    held = resolve(passages, topic, authority, published, key).select(topic, "kept")
+    return passages.join(held, topic).filter(F.col(key) != F.col("kept"))
+
+
 def metadata(chunks: DataFrame, sources=None, langs=None, min_authority=None, after=None) -> DataFrame:
     """Chunks that a search may use. Conditions are on columns, so they reach the scan."""
     for name, values in (("source_id", sources), ("lang", langs)):

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import fixed, text
-from . import fusion
 
 
 def context(passages: DataFrame) -> DataFrame:
@@ -36,13 +35,3 @@ def generate(questions: DataFrame, passages: DataFrame, complete=extract) -> Dat
     rows = questions.join(context(passages), "qid", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "context": F.coalesce("context", F.lit(""))})
     rows = rows.withColumn("prompt", text.prompt(F.col("question"), F.col("context"))).withColumn("answer", complete(F.col("prompt")))
     return rows.select("qid", "question", "answer", text.has_refused(F.col("answer")).alias("refused"), text.verify_citations(F.col("answer"), F.col("n")).alias("citations"), "prompt")
-
-
-def answer(questions: DataFrame, chunks: DataFrame, dense: DataFrame, lexical: DataFrame, use_hybrid: bool = True, use_rerank: bool = True, top: int = 5, complete=extract) -> DataFrame:
-    """The whole chain from ranked lists: fuse, rerank the best 30, generate, check."""
-    found = fusion.hybrid(dense, lexical, "rrf" if use_hybrid else "vector")
-    texts = chunks.select(F.col("id").alias("chunk_id"), "text", "source_id", "unit_ref", "lang")
-    if use_rerank:
-        candidates = found.join(texts.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
-        found = fusion.rerank(candidates, top)
-    return generate(questions, found.filter(F.col("rank") < top).join(texts, "chunk_id"), complete)

@@ -1,4 +1,9 @@
-"""Lexical search: postings, inverse document frequencies and BM25."""
+"""Lexical search: an inverted index as tables, inverse document frequencies and BM25.
+
+Index tables: ``postings`` (term, key, tf, len: the tokens of the document), ``terms`` (term, df) and
+``stats`` (one row: n_docs, avgdl). A search joins the query's terms with postings, which have
+all it needs of a document, so it reads no text.
+"""
 
 from __future__ import annotations
 
@@ -13,43 +18,65 @@ def rank(score: Column | str, *ties: str, by: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.round(score, 9).desc(), *ties)) - 1
 
 
-def tokens(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.select(key, text.tokenize(F.col(column)).alias("tokens"))
+def tokens(docs: DataFrame, column: str = "text", key: str = "doc_id", normalize: bool = True) -> DataFrame:
+    return docs.select(key, text.tokenize(F.col(column), normalize).alias("tokens"))
+
+
+def terms_of(docs: DataFrame, column: str = "text", key: str = "doc_id", normalize: bool = True) -> DataFrame:
+    """key and term, one row for each token. Stop-words go by a set lookup in generated code after the texts are taken apart."""
+    words = docs.select(key, F.explode(text.words_of(F.col(column), normalize)).alias("word"))
+    return words.select(key, F.lower("word").alias("term")).filter(~F.col("term").isin(fixed.STOPWORDS))
+
+
+def postings(docs: DataFrame, column: str = "text", key: str = "doc_id", normalize: bool = True) -> DataFrame:
+    """term, key, tf and len. Texts are dealt by document once; counting terms and the document's length then needs no shuffle of tokens."""
+    counted = terms_of(docs.select(key, column).repartition(key), column, key, normalize).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counted.withColumn("len", F.sum("tf").over(Window.partitionBy(key))).select("term", key, "tf", "len")
 
 
-def postings(tokenised: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, key, tf. Partial counts are merged before the only shuffle."""
-    return tokenised.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def document_frequencies(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def statistics(tokenised: DataFrame) -> DataFrame:
+def statistics(posted: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """n_docs and avgdl over all documents, empty ones too."""
-    return tokenised.agg(F.count("*").alias("n_docs"), (F.sum(F.size("tokens")) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    n = docs.agg(F.count("*").alias("n_docs"))
+    return n.crossJoin(posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))).select("n_docs", (F.col("n_tokens") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))  # one row each
 
 
-def idf(posted: DataFrame, stats: DataFrame, variant: str = "lucene") -> DataFrame:
-    """term, df, idf; variant robertson may be negative."""
+def idf(terms: DataFrame, stats: DataFrame, variant: str = "lucene") -> DataFrame:
+    """term, df, idf of terms (term, df); variant robertson may be negative."""
+    if variant not in ("lucene", "robertson"):
+        raise ValueError(f"no variant {variant}")
     n, df = F.col("n_docs"), F.col("df")
     odds = (n - df + 0.5) / (df + 0.5)
-    found = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    return found.select("term", "df", F.log(odds + 1 if variant == "lucene" else odds).alias("idf"))
+    return terms.crossJoin(F.broadcast(stats)).select("term", "df", F.log(odds + 1 if variant == "lucene" else odds).alias("idf"))  # stats is one row
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """qid, doc_id, score, rank of the k best documents (doc_id, text) for each query (qid, question).
+def index(docs: DataFrame, column: str = "text", key: str = "doc_id", normalize: bool = True) -> dict[str, DataFrame]:
+    """The index tables of documents, unwritten; ``readers.write_tables`` stores them."""
+    posted = postings(docs, column, key, normalize)
+    return {"postings": posted, "terms": document_frequencies(posted), "stats": statistics(posted, docs, key)}
 
-    Only terms of queries are counted: the semi join comes before the aggregation. A token
-    that a query repeats counts each time; documents outside ``allowed`` (doc_id) are left
+
+def search(tables: dict[str, DataFrame], queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, variant: str = "lucene", key: str = "doc_id", normalize: bool = True) -> DataFrame:
+    """qid, key, score, rank of the k best documents of an index for each query (qid, question).
+
+    A token that a query repeats counts each time; documents outside ``allowed`` (key) are left
     out before the best are taken, but count in the statistics.
     """
-    every = tokens(docs)
-    asked = tokens(queries, "question", "qid").select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    used = every.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posted = used.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    stats = statistics(every)
-    weights = idf(posted, stats).drop("df")
+    asked = terms_of(queries, "question", "qid", normalize).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    found = asked.join(tables["terms"], "term").crossJoin(F.broadcast(tables["stats"]))  # stats is one row
+    odds = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    weighed = found.select("qid", "term", "avgdl", (F.col("times") * F.log(odds + 1 if variant == "lucene" else odds)).alias("weight"))
+    posted = tables["postings"]
     if allowed is not None:
-        posted = posted.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1e-9))))
-    scored = posted.join(asked.join(weights, "term"), "term").crossJoin(F.broadcast(stats)).groupBy("qid", "doc_id").agg(F.sum(part).alias("score")).filter("score > 0")
-    return scored.withColumn("rank", rank("score", "doc_id", by=["qid"])).filter(F.col("rank") < k)
+        posted = posted.join(allowed.select(key).distinct(), key, "left_semi")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1e-9))))
+    scored = posted.join(weighed, "term").groupBy("qid", key).agg(F.sum(part).alias("score")).filter("score > 0")
+    return scored.withColumn("rank", rank("score", key, by=["qid"])).filter(F.col("rank") < k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, **options) -> DataFrame:
+    """search of documents (doc_id, text) that have no index."""
+    return search(index(docs), queries, k, allowed, **options)

@@ -1,22 +1,26 @@
 """Dense vectors: norms, similarities, exact and approximate nearest neighbours.
 
 Pair functions are built-in expressions; searches multiply blocks in numpy, keep each
-batch's best and merge them by a window, so only k rows of each query and batch move.
+batch's best and merge them by a window, so only k rows of each query and batch move. Queries come in blocks of bounded size, however many they are.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexical import rank
 
-#: A search takes a stated set of queries, at most as many; larger sets are searched in several calls.
-MOST_QUERIES = 4096
+#: Queries that go through the corpus together.
+BLOCK = 4096
 #: Vectors, about, that an index's cells are fitted on; all are indexed.
 MOST_SAMPLE = 20_000
+FOUND = "qid bigint, vec_id bigint, score double"
 
 
 def doubles(v: Column) -> Column:
@@ -48,18 +52,43 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(checked(a, b), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _asked(queries: DataFrame) -> tuple[list, np.ndarray]:
-    rows = queries.select("qid", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"a search takes at most {MOST_QUERIES} queries")
-    q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-    return [r["qid"] for r in rows], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1))
+
+
+def _blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries (qid, embedding) in blocks of ids and unit vectors; no more than one is held at a time."""
+    ids, rows = [], []
+    for r in queries.select("qid", "embedding").toLocalIterator():
+        ids.append(r["qid"])
+        rows.append(r["embedding"])
+        if len(ids) == size:
+            yield np.array(ids, np.int64), _unit(np.array(rows, np.float64))
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids, np.int64), _unit(np.array(rows, np.float64))
+
+
+def _best(s: np.ndarray, own: np.ndarray, vec: np.ndarray, k: int, exclude_self: bool) -> pa.RecordBatch:
+    """The k best of each row of scores and all that tie with the k-th; the window decides by id."""
+    if exclude_self:
+        s[own[:, None] == vec[None, :]] = -np.inf
+    s = np.round(s, 9)
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(own), -np.inf)
+    i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(vec[j]), pa.array(s[i, j])], names=["qid", "vec_id", "score"])
+
+
+def _merged(parts: list[DataFrame], spark: SparkSession, k: int) -> DataFrame:
+    found = parts[0] if parts else spark.createDataFrame([], FOUND)
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.withColumn("rank", rank("score", "vec_id", by=["qid"])).filter(F.col("rank") < k)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, allowed: DataFrame | None = None, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
@@ -67,88 +96,111 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, allowed: DataFrame |
 
     Filters come first, so that k are found where there are k. metric euclidean scores by the negative distance.
     """
-    ids, q = _asked(queries)
     if allowed is not None:
         corpus = corpus.join(allowed.select("vec_id").distinct(), "vec_id", "left_semi")
-    sent = corpus.sparkSession.sparkContext.broadcast((ids, q))
+    spark, parts = corpus.sparkSession, []
+    for block in _blocks(queries):
+        sent = spark.sparkContext.broadcast(block)  # at most BLOCK vectors
 
-    def search(batches):
-        own, q = sent.value
-        for part in batches:
-            vec = part.column("vec_id").to_numpy(zero_copy_only=False)
-            x = _matrix(part.column("embedding"))
-            if not len(x) or not len(q):
-                continue
-            s = q @ x.T
-            if metric == "euclidean":
-                s = -np.sqrt(np.maximum(2 - 2 * s, 0))
-            if exclude_self:
-                s[np.array(own)[:, None] == vec[None, :]] = -np.inf
-            s = np.round(s, 9)
-            # All that tie with the k-th stay; the window decides by id.
-            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
-            i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own)[i]), pa.array(vec[j]), pa.array(s[i, j])], names=["qid", "vec_id", "score"])
-
-    found = corpus.select("vec_id", "embedding").mapInArrow(search, "qid bigint, vec_id bigint, score double")
-    return found.withColumn("rank", rank("score", "vec_id", by=["qid"])).filter(F.col("rank") < k)
+        def search(batches, sent=sent):
+            own, q = sent.value
+            for part in batches:
+                if part.num_rows:
+                    s = q @ _matrix(part.column("embedding")).T
+                    if metric == "euclidean":
+                        s = -np.sqrt(np.maximum(2 - 2 * s, 0))
+                    yield _best(s, own, part.column("vec_id").to_numpy(zero_copy_only=False), k, exclude_self)
+
+        parts.append(corpus.select("vec_id", "embedding").mapInArrow(search, FOUND))
+    return _merged(parts, spark, k)
+
+
+def cell_count(n: int) -> int:
+    """How many cells so many vectors are put into: the square root of their number, within the fitting sample's means."""
+    return int(max(1, min(round(n**0.5), MOST_SAMPLE // 8)))
 
 
-def cells(vectors: DataFrame, n: int = 16, seed: int = 7, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of n cells by spherical k-means on a bounded sample of about MOST_SAMPLE vectors."""
+def cells(vectors: DataFrame, n: int | None = None, seed: int = 7, rounds: int = 12) -> np.ndarray:
+    """Unit centroids of n cells, else ``cell_count`` of them, by spherical k-means on a bounded sample of about MOST_SAMPLE vectors."""
     count = vectors.count()
+    n = n or cell_count(count)
     share = min(1.0, MOST_SAMPLE / max(1, count))
     rows = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("vec_id", "embedding").orderBy("vec_id").collect()
-    x = np.array([r["embedding"] for r in rows], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    if not rows:
+        return np.zeros((1, 1))
+    x = _unit(np.array([r["embedding"] for r in rows], np.float64))
     c = x[np.random.default_rng(seed).permutation(len(x))[:n]]
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
-        for i in range(len(c)):
-            if (mine := own == i).any():
-                c[i] = x[mine].sum(axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        full = np.bincount(own, minlength=len(c)) > 0
+        c = _unit(np.where(full[:, None], sums, c))
     return c
 
 
-def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Every vector with its cell; written partitioned by cell, a search reads only the cells it probes."""
+def assign(vectors: DataFrame, centroids: np.ndarray, copies: int = 2) -> DataFrame:
+    """Every vector (vec_id, embedding) with each of its ``copies`` nearest cells, so one near a border is found from both sides."""
     sent = vectors.sparkSession.sparkContext.broadcast(centroids)
+    copies = min(copies, len(centroids))
 
     def run(batches):
         for part in batches:
-            cell = (_matrix(part.column("embedding")) @ sent.value.T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(cell, pa.int32())], names=["vec_id", "embedding", "cell"])
+            if part.num_rows:
+                s = _matrix(part.column("embedding")) @ sent.value.T
+                near = np.argpartition(-s, copies - 1, axis=1)[:, :copies]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), copies))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(rows), part.column("embedding").take(rows), pa.array(near.ravel().astype(np.int32))], names=["vec_id", "embedding", "cell"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, embedding array<float>, cell int")
 
 
-def ann(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = 6, exclude_self: bool = False) -> DataFrame:
-    """As knn, but each query looks only into the cells nearest to it; probes trades effort for recall."""
-    ids, q = _asked(queries)
-    near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
-    sent = indexed.sparkSession.sparkContext.broadcast((ids, q, near))
+def write_ann(vectors: DataFrame, path: str, n: int | None = None, copies: int = 2) -> None:
+    """The index: vectors in folders by cell, of which a search reads those it probes, and the centroids."""
+    centroids = cells(vectors, n)
+    placed = assign(vectors, centroids, copies)
+    placed.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    spark = vectors.sparkSession
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
-    def search(batches):
-        own, q, near = sent.value
-        own = np.array(own)
-        for part in batches:
-            vec, cell = part.column("vec_id").to_numpy(zero_copy_only=False), part.column("cell").to_numpy(zero_copy_only=False)
-            x = _matrix(part.column("embedding"))
-            for c in np.unique(cell):
-                who, here = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
-                if not len(who):
-                    continue
-                s = np.round(q[who] @ x[here].T, 9)
-                if exclude_self:
-                    s[own[who][:, None] == vec[here][None, :]] = -np.inf
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(who), -np.inf)
-                i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(own[who][i]), pa.array(vec[here][j]), pa.array(s[i, j])], names=["qid", "vec_id", "score"])
-
-    probed = indexed.filter(F.col("cell").isin(np.unique(near).tolist()))
-    found = probed.select("vec_id", "embedding", "cell").mapInArrow(search, "qid bigint, vec_id bigint, score double")
-    return found.withColumn("rank", rank("score", "vec_id", by=["qid"])).filter(F.col("rank") < k)
+
+def read_ann(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # as many as cells
+    return spark.read.schema("vec_id bigint, embedding array<float>, cell int").parquet(f"{path}/cells"), np.array([r["centroid"] for r in rows], np.float64)
+
+
+def ann(queries: DataFrame, index: tuple[DataFrame, np.ndarray], k: int = 10, probes: int = 8, allowed: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+    """As knn, but each query looks only into the cells nearest to it; probes trades effort for recall.
+
+    Vectors outside ``allowed`` (vec_id) are left out before the best are taken, so a filter never costs results that its cells hold.
+    """
+    indexed, centroids = index
+    if allowed is not None:
+        indexed = indexed.join(allowed.select("vec_id").distinct(), "vec_id", "left_semi")
+    spark, parts = indexed.sparkSession, []
+    for own, q in _blocks(queries):
+        if centroids.shape == (1, 1):  # of no vectors
+            break
+        near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
+        sent = spark.sparkContext.broadcast((own, q, near))  # at most BLOCK vectors
+
+        def search(batches, sent=sent):
+            own, q, near = sent.value
+            for part in batches:
+                vec, cell = part.column("vec_id").to_numpy(zero_copy_only=False), part.column("cell").to_numpy(zero_copy_only=False)
+                x = _matrix(part.column("embedding"))
+                for c in np.unique(cell):
+                    who, here = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
+                    if len(who):
+                        yield _best(q[who] @ x[here].T, own[who], vec[here], k, exclude_self)
+
+        probed = indexed.filter(F.col("cell").isin(np.unique(near).tolist()))
+        parts.append(probed.select("vec_id", "embedding", "cell").mapInArrow(search, FOUND))
+    found = parts[0] if parts else spark.createDataFrame([], FOUND)
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    # A vector may be met in each of its cells.
+    return _merged([found.dropDuplicates(["qid", "vec_id"])], spark, k)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,12 +209,24 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     return hit.groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
-def recall_curve(queries: DataFrame, vectors: DataFrame, probes=(1, 2, 4, 8), k: int = 10, n_cells: int = 16) -> DataFrame:
-    """probes, mean recall and mean share of vectors looked at, one row for each effort."""
-    centroids = cells(vectors, n_cells)
-    indexed, exact = assign(vectors, centroids), knn(queries, vectors, k)
-    out = None
+def latencies(search, queries: DataFrame, most: int = 20) -> DataFrame:
+    """Seconds of single searches: one row each of at most ``most`` of the queries, timed on the driver."""
+    took = []
+    for r in queries.select("qid").orderBy("qid").limit(most).collect():
+        began = time.perf_counter()
+        search(queries.filter(F.col("qid") == r["qid"])).collect()
+        took.append((r["qid"], time.perf_counter() - began))
+    return queries.sparkSession.createDataFrame(took, "qid bigint, seconds double")
+
+
+def recall_curve(queries: DataFrame, vectors: DataFrame, index: tuple[DataFrame, np.ndarray], probes=(1, 2, 4, 8), k: int = 10, timed: int = 0) -> DataFrame:
+    """probes and mean recall over all queries, one row for each effort; with timed > 0 also the median and 95th percentile of so many searches' seconds, and how much faster than exact search the median is."""
+    exact, out = knn(queries, vectors, k), None
+    base = latencies(lambda q: knn(q, vectors, k), queries, timed).agg(F.median("seconds").alias("exact_p50")) if timed else None
     for p in probes:
-        row = recall(exact, ann(queries, indexed, centroids, k, p)).agg(F.lit(p).alias("probes"), F.avg("recall").alias("recall"))
+        row = recall(exact, ann(queries, index, k, p)).agg(F.lit(p).alias("probes"), F.avg("recall").alias("recall"))
+        if timed:
+            took = latencies(lambda q, p=p: ann(q, index, k, p), queries, timed).agg(F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95"))
+            row = row.crossJoin(took).crossJoin(base).withColumn("speedup", F.col("exact_p50") / F.col("p50")).drop("exact_p50")  # one row each
         out = row if out is None else out.unionByName(row)
     return out

@@ -1,7 +1,7 @@
 """The engine's operators as queries over the tables of a folder, and their SQL.
 
-Questions are the first 80 characters of the first 20 benchmark items, dense queries the
-first 20 vectors; what they are searched in is always the whole table.
+Questions are the whole texts of benchmark items whose id is divisible by 50, dense queries the vectors with
+such ids; what they are searched in is always the whole table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import chunking, fusion, generation, golden, lexical, metrics, vectors
+from ..operators import chunking, embedding, fusion, generation, golden, ingest, lexical, metrics, pipeline, vectors
 from ..sources import readers
 from ..streaming import online
 
@@ -33,12 +33,33 @@ def query(sql: str | None = None):
     return add
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def built(spark: SparkSession, folder: str, name: str, build) -> str:
+    """The path of an index of a folder's tables, built by its first search in this application and read by all others, as long as the files are the same."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    files = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in top.getFileSystem(conf).listStatus(top)))
+    key = (spark.sparkContext.applicationId, folder, files, name)
+    if key not in _BUILT or not readers.exists(spark, _BUILT[key]):
+        path = online.shared_folder(spark)
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
 def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
 WORDS_SQL = r"regexp_extract_all(text, '\S+')"
 FORM_SQL = r"lower(trim(regexp_replace(translate({0}, '’‘', ''''''), '\s+', ' ', 'g')))"
+_A, _L = fixed.ALEF, fixed.LAM
+NORM_SQL = (
+    rf"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(translate(regexp_replace({{0}}, '{fixed.DIACRITICS}', '', 'g'), '{fixed.LETTERS_FROM + fixed.ARABIC_DIGITS}', '{fixed.LETTERS_TO + fixed.DIGITS}'), '[{_A}{_L}]+|[^{_A}{_L}]+'), "
+    rf"lambda x: CASE WHEN x[1] IN ('{_A}', '{_L}') THEN repeat('{_A}', length(x) - length(replace(x, '{_A}', ''))) || repeat('{_L}', length(x) - length(replace(x, '{_L}', ''))) ELSE x END), ''), '[ \t\n\v\f\r]+', ' ', 'g'))"
+)
 CONTENT_SQL = f"list_distinct(list_filter(regexp_extract_all({FORM_SQL}, '[a-zà-ÿ]+'), lambda w: length(w) > 3 AND w NOT IN ({quoted(fixed.CONTENT_STOP)})))"
 TOKENS_SQL = rf"list_filter(list_transform(regexp_extract_all({{0}}, '{fixed.TOKEN}'), lambda x: lower(x)), lambda x: x NOT IN ({quoted(fixed.STOPWORDS)}))"
 
@@ -55,11 +76,20 @@ def html_detag(read, spark, folder):
     return read("pages").select("page_id", readers.detag(F.col("html")).alias("text"))
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 5) GROUP BY source")
+REGISTRY = [(f"src{i}", f"Source {i}", i % 4, "article" if i % 2 else "section", ["fr"], i % 3) for i in range(0, 20, 2)]
+
+
+def registry(spark) -> DataFrame:
+    """Configuration of every other source: a small dimension, given as a literal."""
+    return spark.createDataFrame(REGISTRY, ingest.REGISTRY)
+
+
+_REGISTRY = "reg(source_id, authority, unit, priority) AS (VALUES " + ", ".join(f"('{r[0]}', {r[2]}, '{r[3]}', {r[5]})" for r in REGISTRY) + ")"
+
+
+@query(f"WITH {_REGISTRY} SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT source_id FROM reg) GROUP BY source")
 def source_filter(read, spark, folder):
-    docs = read("documents")
-    registry = docs.select("source").distinct().orderBy("source").limit(5)
-    return docs.join(registry, "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+    return read("documents").join(registry(spark).select(F.col("source_id").alias("source")), "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang IN ('fr', 'en') AND quality >= 1")
@@ -77,29 +107,92 @@ def toc_filter(read, spark, folder):
 
 @query(r"SELECT CASE WHEN s IN ('.html', '.htm') THEN 'html' WHEN s = '.pdf' THEN 'pdf' ELSE 'skipped' END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(url, '(\.[^./]+)$', 1)) AS s FROM pages) GROUP BY 1")
 def file_extension_dispatch(read, spark, folder):
-    s = F.lower(F.regexp_extract("url", r"(\.[^./]+)$", 1))
-    kind = F.when(s.isin(".html", ".htm"), "html").when(s == ".pdf", "pdf").otherwise("skipped")
-    return read("pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return read("pages").groupBy(readers.kind(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_FILE = "'in/src' || (page_id % 10 * 2) || CASE WHEN page_id % 3 = 0 THEN '/src' || (page_id % 7 * 2) ELSE '' END || '/p' || page_id || '.html'"
 
 
-@query(r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_files(read) -> DataFrame:
+    """Web pages as files in folders by source, some of which lie in another's."""
+    n = lambda k: (F.col("page_id") % k * 2).cast("string")
+    inner = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/src"), n(7))).otherwise("")
+    return read("pages").select("page_id", "html", F.concat(F.lit("in/src"), n(10), inner, F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"))
+
+
+@query(f"SELECT f AS file, regexp_extract(f, '.*/(src[0-9]+)/[^/]*$', 1) AS source_id FROM (SELECT {_FILE} AS f FROM pages)")
 def detect_source(read, spark, folder):
-    return read("pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+    return ingest.sources(page_files(read), registry(spark))
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?m)^\s*-?\s*\d+\s*-?\s*$', '', 'g'), '([\pL\pN_])-\s*\n\s*([\pL\pN_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+#: Pages that ingest sees: visible text after a page number; some are blank, some are tables of contents, some begin with a heading.
+_RAW = f"CASE page_id % 5 WHEN 0 THEN chr(10) || chr(9) || ' 12 ' || chr(10) WHEN 1 THEN {_HTML_SQL} || ' Table des matières' WHEN 2 THEN 'Article ' || page_id || chr(10) || {_HTML_SQL} WHEN 3 THEN 'المادة ' || repeat('الكبرى ', length(html)) ELSE {_HTML_SQL} || chr(10) || '- 7 -' || chr(10) END"
+
+
+def raw_pages(read) -> DataFrame:
+    visible, k = readers.detag(F.col("html")), F.col("page_id") % 5
+    heading = F.concat(F.lit("Article "), F.col("page_id").cast("string"), F.lit("\n"), visible)
+    text = F.when(k == 0, "\n\t 12 \n").when(k == 1, F.concat(visible, F.lit(" Table des matières"))).when(k == 2, heading)
+    text = text.when(k == 3, F.concat(F.lit("المادة "), F.repeat(F.lit("الكبرى "), F.char_length("html")))).otherwise(F.concat(visible, F.lit("\n- 7 -\n")))
+    return page_files(read).select("file", F.lit(1).alias("page"), text.alias("text"))
+
+
+_INGESTED = f"""WITH {_REGISTRY}, raw AS (SELECT {_FILE} AS file, page_id, {_RAW} AS t FROM pages),
+c AS (SELECT file, page_id, regexp_extract(file, '.*/(src[0-9]+)/[^/]*$', 1) AS source_id, {_CLEAN.format('t')} AS text FROM raw),
+k AS (SELECT c.*, authority, unit, priority, source_id || '::p' || page_id AS doc_id,
+CASE WHEN len(regexp_extract_all(text, '[؀-ۿ]')) > 0.4 * len(regexp_extract_all(text, '\\p{{L}}')) THEN 'ar' ELSE 'fr' END AS lang FROM c JOIN reg USING (source_id) WHERE text <> '' AND NOT contains(upper(text), 'TABLE DES MATI'))"""
+
+
+@query(_INGESTED + " SELECT doc_id, file, source_id, authority, unit, lang, sha256(text) AS text_sha256, CASE WHEN page_id % 5 = 2 THEN 1 ELSE 0 END AS n_refs FROM k")
+def ingest_pages(read, spark, folder):
+    """Pages as ingest leaves them: cleaned, without blank ones and tables of contents, with language, units and their source's configuration."""
+    return ingest.pages(raw_pages(read), registry(spark)).select("doc_id", "file", "source_id", "authority", "unit", "lang", F.sha2("text", 256).alias("text_sha256"), F.size("unit_refs").alias("n_refs"))
+
+
+@query(_INGESTED + " SELECT doc_id, source_id, 1 AS n_pages, CASE WHEN page_id % 5 = 2 THEN 1 ELSE 0 END AS n_unit_refs, [lang] AS langs, 1 AS page, sha256(text) AS text_sha256 FROM k WHERE priority <= 1 AND source_id <> 'src4'")
+def corpus_json(read, spark, folder):
+    """Documents of sources of a priority, written as JSON and read again for all sources but one."""
+    path = online.shared_folder(spark)
+    readers.write_corpus(ingest.documents(ingest.pages(raw_pages(read), registry(spark), priority=1)), path)
+    docs = readers.read_corpus(spark, path, [r[0] for r in REGISTRY if r[0] != "src4"])
+    return docs.select("doc_id", "source_id", "n_pages", "n_unit_refs", "langs", F.explode("pages").alias("p")).select("doc_id", "source_id", "n_pages", "n_unit_refs", "langs", "p.page", F.sha2("p.text", 256).alias("text_sha256"))
+
+
+@query(_INGESTED + " SELECT count(*) AS n_docs, count(*) AS n_pages, count(*) FILTER (page_id % 5 = 2) AS n_unit_refs FROM k")
+def ingest_totals(read, spark, folder):
+    return ingest.totals(ingest.documents(ingest.pages(raw_pages(read), registry(spark))))
 
 
 @query(
-    rf"SELECT 'page' AS chunker, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, round(avg(len({WORDS_SQL})), 6) AS mean_tokens FROM documents"
+    rf"SELECT 'page' AS chunker, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, round(avg(n), 6) AS mean_tokens, median(n)::DOUBLE AS median_tokens, max(n)::DOUBLE AS max_tokens FROM (SELECT source, doc_id, len({WORDS_SQL}) AS n FROM documents)"
 )
 def index_stats(read, spark, folder):
     chunks = read("documents").select(F.col("source").alias("source_id"), "doc_id", chunking.count_words(F.col("text")).alias("n_tokens"))
-    return readers.index_meta(chunks, chunker="page").withColumn("mean_tokens", F.round("mean_tokens", 6))
+    return readers.index_meta(chunks, chunker="page").select("chunker", "sources", "n_docs", "n_chunks", F.round("mean_tokens", 6).alias("mean_tokens"), "median_tokens", "max_tokens")
 
 
-@query()
+_HEADED = "'Article ' || doc_id || chr(10) || text || chr(10) || 'Article 43 ci-dessus' || chr(10) || 'Article premier' || chr(10) || '  المادة ٤٣ ' || chr(10) || 'voir Rubrique 12.3 et Circulaire n° 721/25'"
+_UNIT_LINE = r"regexp_extract(line, '^[ \t]*Article[ \t]+(\d+|premier)\b', 1)"
+_NOT_UNIT = r"NOT regexp_matches(line, '^[ \t]*Article[ \t]+(\d+|premier)[ \t]*(?:ci-|ci ?dessus|ci ?dessous|du |de la |de l''|des )')"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {_HEADED} AS t, ['article fr', 'article ar', 'rubrique', 'section'][doc_id % 4 + 1] AS kind FROM documents),
+l AS (SELECT doc_id, kind, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+f AS (SELECT doc_id, kind, start::INTEGER AS start, {_UNIT_LINE} AS num FROM s WHERE kind IN ('article fr', 'section') AND {_UNIT_LINE} <> '' AND {_NOT_UNIT}
+UNION ALL SELECT doc_id, kind, start::INTEGER, regexp_extract(line, 'الماد[ةه][ \t]*([٠-٩]+)', 1) FROM s WHERE kind = 'article ar' AND regexp_matches(line, '^[ \t]*الماد[ةه][ \t]*[٠-٩]+')
+UNION ALL SELECT doc_id, kind, (start + instr(line, 'Rubrique') - 1)::INTEGER, '12.3' FROM s WHERE kind = 'rubrique' AND starts_with(line, 'voir Rubrique 12.3')
+UNION ALL SELECT doc_id, kind, (start + instr(line, 'Circulaire') - 1)::INTEGER, '721/25' FROM s WHERE kind = 'section' AND starts_with(line, 'voir Rubrique 12.3'))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS at, split_part(kind, ' ', 1) || ' ' || num AS ref, num, start FROM f"""
+)
 def unit_refs(read, spark, folder):
-    """Headings found in documents that begin with one and then mention another unit."""
-    t = F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nArticle 43 ci-dessus\nArticle premier\n"))
-    rows = read("documents").select("doc_id", T.extract_unit_refs(t, F.lit("article"), F.lit("fr")).alias("refs"))
+    """Headings and references in documents that begin with a heading, mention another unit and end with units of other kinds, by the unit of each fourth."""
+    t = F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nArticle 43 ci-dessus\nArticle premier\n  المادة ٤٣ \nvoir Rubrique 12.3 et Circulaire n° 721/25"))
+    k = F.col("doc_id") % 4
+    unit = F.when(k == 2, "rubrique").when(k == 3, "section").otherwise("article")
+    rows = read("documents").select("doc_id", T.extract_unit_refs(t, unit, F.when(k == 1, "ar").otherwise("fr")).alias("refs"))
     return rows.select("doc_id", F.posexplode("refs").alias("at", "r")).select("doc_id", "at", "r.ref", "r.num", "r.start")
 
 
@@ -136,7 +229,7 @@ def tokenize(read, spark, folder):
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{fixed.TOKEN}')) AS n_all, len({TOKENS_SQL.format('text')}) AS n_kept FROM documents")
 def stopword_filter(read, spark, folder):
-    return read("documents").select("doc_id", F.size(T.tokenize(F.col("text"), False)).cast("bigint").alias("n_all"), F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_kept"))
+    return read("documents").select("doc_id", F.size(T.words_of(F.col("text"))).cast("bigint").alias("n_all"), F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_kept"))
 
 
 @query(f"SELECT item_id, {FORM_SQL.format('text')} AS form FROM benchmark")
@@ -149,7 +242,7 @@ def content_words(read, spark, folder):
     return read("benchmark").select("item_id", F.array_sort(T.content_words(F.col("text"))).alias("words"))
 
 
-@query()
+@query(f"SELECT doc_id, {NORM_SQL.format('t')} AS text_norm FROM (SELECT doc_id, {_MIXED} AS t FROM documents)")
 def normalize_arabic(read, spark, folder):
     return mixed(read("documents")).select("doc_id", T.normalize_for_search(F.col("text")).alias("text_norm"))
 
@@ -192,8 +285,28 @@ def cache_key_sha256(read, spark, folder):
 # Chunking --------------------------------------------------------------------
 
 
-def pages_of(read) -> DataFrame:
-    return read("documents").select("doc_id", F.lit(1).alias("page"), "lang", "text")
+def docs_of(read) -> DataFrame:
+    return chunking.single(read("documents"))
+
+
+def digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "doc_id", "position", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+
+
+def sentences_sql(text: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?؟؛])\s+|\n{{2,}}', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def fold_sql(source: str, most: int, overlap: int, no: str = "") -> str:
+    """Tables of a recursive query that packs the texts of ``source`` (key, text) as the sentence chunker does: packed (key, a: the first sentence, text). no tells two of them apart."""
+    kept = "p.n" if overlap else "0"
+    return rf"""sen{no} AS (SELECT key, {sentences_sql('text')} AS s FROM {source}),
+zn{no} AS (SELECT key, i, len(regexp_extract_all(t, '\S+')) AS n FROM (SELECT key, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i FROM sen{no})),
+fold{no}(key, i, a, n, done) AS (SELECT key, i, 0::BIGINT, n, NULL::BIGINT FROM zn{no} WHERE i = 0 UNION ALL
+SELECT r.key, z.i, CASE WHEN r.n + z.n > {most} THEN z.i - {overlap} ELSE r.a END, CASE WHEN r.n + z.n > {most} THEN {kept} + z.n ELSE r.n + z.n END, CASE WHEN r.n + z.n > {most} THEN r.a END
+FROM fold{no} r JOIN zn{no} z ON z.key = r.key AND z.i = r.i + 1 JOIN zn{no} p ON p.key = r.key AND p.i = r.i),
+spans{no} AS (SELECT key, done AS a, i - 1 AS b FROM fold{no} WHERE done IS NOT NULL UNION ALL SELECT key, a, i FROM fold{no} JOIN (SELECT key, max(i) AS last FROM zn{no} GROUP BY key) USING (key) WHERE i = last),
+packed{no} AS (SELECT key, a, array_to_string(s[a + 1 : b + 1], ' ') AS text FROM spans{no} JOIN sen{no} USING (key))"""
 
 
 _FIXED = rf"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
@@ -204,17 +317,26 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS positi
 
 @query(_FIXED + " SELECT doc_id || '::p1::c' || position AS id, doc_id, position, n_tokens, sha256(text) AS text_sha256 FROM f")
 def chunk_fixed(read, spark, folder):
-    return chunking.fixed_windows(pages_of(read)).select("id", "doc_id", "position", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+    return digests(chunking.fixed_windows(docs_of(read)))
+
+
+@query(_FIXED + " SELECT doc_id || '::p1::c' || position AS id, doc_id::VARCHAR AS doc_id, source AS source_id, lang, position, n_tokens, sha256(text) AS text_sha256, sha256(text) AS norm_sha256 FROM f JOIN documents USING (doc_id)".replace("sha256(text) AS text", "sha256(f.text) AS text").replace("sha256(text) AS norm", "sha256(f.text) AS norm"))
+def chunks_jsonl(read, spark, folder):
+    """Chunks with all their fields, written as JSON lines and read again."""
+    path = online.shared_folder(spark)
+    readers.write_chunks(chunking.fixed_windows(docs_of(read)), path)
+    return readers.read_chunks(spark, path).select("id", "doc_id", "source_id", "lang", "position", "n_tokens", F.sha2("text", 256).alias("text_sha256"), F.sha2("text_norm", 256).alias("norm_sha256"))
 
 
-@query(r"SELECT doc_id, CASE WHEN len(s) > 0 THEN len(s) ELSE 1 END AS n_sentences FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟؛])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)")
+@query(f"SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS at FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)")
 def sentence_split(read, spark, folder):
-    return read("documents").select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("n_sentences"))
+    return read("documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("at", "sentence"))
 
 
-@query()
+@query("WITH RECURSIVE docs AS (SELECT doc_id AS key, text FROM documents), " + fold_sql("docs", 400, 1) + r""", c AS (SELECT key AS doc_id, text, row_number() OVER (PARTITION BY key ORDER BY a) - 1 AS position FROM packed)
+SELECT doc_id || '::p1::c' || position AS id, doc_id, position, len(regexp_extract_all(text, '\S+')) AS n_tokens, sha256(text) AS text_sha256 FROM c""")
 def chunk_by_sentence(read, spark, folder):
-    return chunking.by_sentence(pages_of(read)).select("id", "doc_id", "position", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+    return digests(chunking.by_sentence(docs_of(read)))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -226,37 +348,54 @@ def shape_vector(sentence: pd.Series) -> pd.Series:
 
 @query()
 def chunk_semantic(read, spark, folder):
-    return chunking.semantic(pages_of(read), shape_vector).select("id", "doc_id", "position", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+    return digests(chunking.semantic(docs_of(read), shape_vector))
 
 
-@query()
+_LINES = "CASE WHEN i % 3 = 1 THEN 'Article ' || i || ' ' || line ELSE line END"
+
+
+@query(
+    rf"""WITH RECURSIVE l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+l AS (SELECT doc_id, i, {_LINES} AS line FROM l0), full_ AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l GROUP BY doc_id),
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+h AS (SELECT doc_id, start, 'article ' || {_UNIT_LINE} AS ref, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS u FROM p WHERE {_UNIT_LINE} <> '' AND {_NOT_UNIT}),
+b AS (SELECT doc_id, u, ref, regexp_replace(substring(t, start + 1, coalesce(stop, length(t)) - start), '^\s+|\s+$', '', 'g') AS text FROM h JOIN full_ USING (doc_id)),
+pre AS (SELECT doc_id, 0 AS u, NULL AS ref, regexp_replace(left(t, start), '^\s+|\s+$', '', 'g') AS text FROM h JOIN full_ USING (doc_id) WHERE u = 1 AND start > 50),
+cut AS (SELECT *, len(regexp_extract_all(text, '\S+')) > 800 AS big FROM b WHERE length(text) >= 20),
+src AS (SELECT {{'d': doc_id, 'u': u, 'o': 0}} AS key, text FROM cut WHERE big), {fold_sql('src', 800, 0)},
+src1 AS (SELECT {{'d': doc_id, 'u': 0, 'o': 1}} AS key, t AS text FROM full_ WHERE doc_id NOT IN (SELECT doc_id FROM h)), {fold_sql('src1', 800, 1, '1')},
+every AS (SELECT doc_id, u, 0 AS k, ref, text FROM pre UNION ALL SELECT doc_id, u, 0, ref, text FROM cut WHERE NOT big
+UNION ALL SELECT c.doc_id, c.u, packed.a, c.ref, packed.text FROM packed JOIN cut c ON c.doc_id = key.d AND c.u = key.u UNION ALL SELECT key.d, 0, a, NULL, text FROM packed1),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u, k) - 1 AS position FROM every)
+SELECT doc_id || '::p1::c' || position AS id, doc_id, position, ref AS unit_ref, len(regexp_extract_all(text, '\S+')) AS n_tokens, sha256(text) AS text_sha256 FROM n"""
+)
 def chunk_structural(read, spark, folder):
     """Each line of a document that begins a new unit gets a heading first."""
     headed = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("Article "), i.cast("string"), F.lit(" "), x)).otherwise(x)), "\n")
-    pages = read("documents").select("doc_id", F.lit(1).alias("page"), "lang", headed.alias("text"))
-    pages = pages.withColumn("unit_refs", T.extract_unit_refs(F.col("text"), F.lit("article"), F.lit("fr")))
-    return chunking.structural(pages).select("id", "doc_id", "position", "unit_ref", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+    rows = read("documents").select("doc_id", "lang", "source", headed.alias("text"))
+    docs = chunking.single(rows, "text", T.unit_refs(F.col("text"), "article", "fr"))
+    return chunking.structural(docs).select("id", "doc_id", "position", "unit_ref", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(_FIXED + " SELECT count(*) AS n_chunks, round(avg(n_tokens), 6) AS mean_tokens, median(n_tokens)::DOUBLE AS median_tokens, round(stddev_pop(n_tokens), 6) AS std_tokens, min(n_tokens)::DOUBLE AS min_tokens, max(n_tokens)::DOUBLE AS max_tokens, 0 AS n_with_ref FROM f")
 def chunk_stats(read, spark, folder):
-    out = chunking.statistics(chunking.fixed_windows(pages_of(read)))
+    out = chunking.statistics(chunking.fixed_windows(docs_of(read)))
     return out.withColumns({c: F.round(c, 6) for c in ("mean_tokens", "std_tokens")})
 
 
 @query(
-    rf"""WITH d AS (SELECT {FORM_SQL.format('text')} AS t FROM documents), p AS (SELECT item_id, {FORM_SQL.format('text')} AS t FROM benchmark),
-w AS (SELECT item_id, EXISTS (SELECT 1 FROM d WHERE contains(d.t, p.t)) AS whole FROM p)
-SELECT count(*) AS n, count(*) FILTER (whole) AS n_whole, round(1 - count(*) FILTER (whole) / greatest(count(*), 1), 6) AS rate FROM w"""
+    _FIXED + rf""", d AS (SELECT {NORM_SQL.format('text')} AS t FROM f), p AS (SELECT item_id, text, {NORM_SQL.format('text')} AS t FROM benchmark),
+q AS (SELECT item_id, text, EXISTS (SELECT 1 FROM d WHERE contains(d.t, p.t)) AS whole FROM p)
+SELECT count(*) AS n, count(*) FILTER (whole) AS n_whole, round(1 - count(*) FILTER (whole) / greatest(count(*), 1), 6) AS rate, (SELECT list(left(text, 80) ORDER BY item_id) FROM (SELECT * FROM q WHERE NOT whole ORDER BY item_id LIMIT 5)) AS examples FROM q"""
 )
 def fragmentation_rate(read, spark, folder):
-    return chunking.fragmentation(read("benchmark"), read("documents")).withColumn("rate", F.round("rate", 6))
+    return chunking.fragmentation(read("benchmark"), chunking.fixed_windows(docs_of(read))).withColumn("rate", F.round("rate", 6))
 
 
 # Vectors ---------------------------------------------------------------------
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
-_QC = "FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id < 20 AND q.vec_id <> c.vec_id"
+_QC = "FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id"
 
 
 def knn_sql(k: int, where: str = "") -> str:
@@ -264,7 +403,7 @@ def knn_sql(k: int, where: str = "") -> str:
 
 
 def asked_vectors(read) -> DataFrame:
-    return read("embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return read("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -304,53 +443,103 @@ def knn_filtered(read, spark, folder):
     return rounded(vectors.knn(asked_vectors(read), read("embeddings").filter(F.col("label").isin(1, 3, 5)), exclude_self=True))
 
 
+def stored_cells(read, spark, folder):
+    return vectors.read_ann(spark, built(spark, folder, "cells", lambda path: vectors.write_ann(read("embeddings"), path)))
+
+
+PROBES = 8
+
+
 @query()
 def knn_ann(read, spark, folder):
-    """Search of an index of all vectors in 16 cells of which each query probes 8."""
-    centroids = vectors.cells(read("embeddings"))
-    return rounded(vectors.ann(asked_vectors(read), vectors.assign(read("embeddings"), centroids), centroids, probes=8, exclude_self=True))
+    """Search of the stored index, whose cells grow with the square root of the vectors."""
+    return rounded(vectors.ann(asked_vectors(read), stored_cells(read, spark, folder), probes=PROBES, exclude_self=True))
+
+
+@query()
+def knn_ann_filtered(read, spark, folder):
+    may = read("embeddings").filter(F.col("label").isin(1, 3, 5)).select("vec_id")
+    return rounded(vectors.ann(asked_vectors(read), stored_cells(read, spark, folder), probes=PROBES, allowed=may, exclude_self=True))
+
+
+@query(knn_sql(10))
+def knn_ann_every_cell(read, spark, folder):
+    """The stored index with all cells probed finds what exact search finds."""
+    return rounded(vectors.ann(asked_vectors(read), stored_cells(read, spark, folder), probes=1 << 20, exclude_self=True))
 
 
 @query()
 def knn_ann_recall(read, spark, folder):
-    return vectors.recall_curve(asked_vectors(read), read("embeddings"), (4, 8, 16)).withColumn("recall", F.round("recall", 6))
+    """Recall, and the latency of single searches, for growing effort."""
+    return six(vectors.recall_curve(asked_vectors(read), read("embeddings"), stored_cells(read, spark, folder), (1, 4, PROBES), timed=3))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT sha256(text)) AS n_keys, 64 AS dim FROM documents")
+def embedding_cache(read, spark, folder):
+    """All texts embedded through a cache that has half of them already; equal texts are computed once."""
+    texts, path = read("documents").select(F.col("doc_id").alias("id"), "text"), online.shared_folder(spark)
+    embedding.embed(texts.filter("id % 2 = 0"), path)
+    done = embedding.embed(texts, path)
+    return done.agg(F.count("*").alias("n_rows"), F.max(F.size("embedding")).alias("dim")).crossJoin(spark.read.parquet(path).agg(F.count("*").alias("n_keys")))
 
 
 @query("SELECT DISTINCT sha256('passage: ' || text) AS key FROM documents WHERE sha256('passage: ' || text) NOT IN (SELECT sha256('passage: ' || text) FROM documents WHERE doc_id % 2 = 0)")
 def cache_anti_join(read, spark, folder):
     keys = read("documents").select("doc_id", T.cache_key("passage: ", F.col("text")).alias("key"))
-    return readers.cached_embeddings(keys, keys.filter("doc_id % 2 = 0").select("key").distinct())[1].select("key")
+    return keys.join(keys.filter("doc_id % 2 = 0").select("key"), "key", "left_anti").select("key").distinct()
 
 
 # Lexical search --------------------------------------------------------------
 
 
 def questions(read) -> DataFrame:
-    return read("benchmark").filter("item_id < 20").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"))
+    return read("benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def stored_terms(read, spark, folder) -> dict[str, DataFrame]:
+    """The lexical index of all documents."""
+    return readers.read_index(spark, built(spark, folder, "terms", lambda path: readers.write_tables(lexical.index(read("documents")), path)))
 
 
-_TOKENISED = f"""tok AS (SELECT doc_id, source, lang, {TOKENS_SQL.format('text')} AS t FROM documents),
+def tokenised_sql(tokens: str) -> str:
+    return f"""tok AS (SELECT doc_id, source, lang, {tokens} AS t FROM documents),
 st AS (SELECT count(*) AS n_docs, sum(len(t)) / greatest(count(*), 1) AS avgdl FROM tok),
 post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
-_BM25 = f"""{_TOKENISED},
-ask AS (SELECT item_id AS qid, unnest({TOKENS_SQL.format('left(text, 80)')}) AS term FROM benchmark WHERE item_id < 20),
-sc AS (SELECT qid, doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / greatest(avgdl, 1e-9)))) AS s
+
+
+def scored_sql(ask: str, idf: str = "ln((n_docs - df + 0.5) / (df + 0.5) + 1)") -> str:
+    return f"""ask AS ({ask}),
+sc AS (SELECT qid, doc_id, sum({idf} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / greatest(avgdl, 1e-9)))) AS s
 FROM ask JOIN post USING (term) JOIN dfs USING (term) JOIN tok USING (doc_id), st GROUP BY ALL)"""
 
 
+_TOKENISED = tokenised_sql(TOKENS_SQL.format("text"))
+_BM25 = _TOKENISED + ", " + scored_sql(f"SELECT item_id AS qid, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark WHERE item_id % 50 = 0")
+
+
 def bm25_sql(k: int, where: str = "s > 0") -> str:
-    return f"bm AS (SELECT qid, doc_id, s AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) - 1 AS rank FROM sc JOIN tok USING (doc_id) WHERE {where} QUALIFY rank < {k})"
+    return f"bm AS (SELECT qid, doc_id, s AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) - 1 AS rank FROM sc JOIN tok USING (doc_id) WHERE s > 0 AND {where} QUALIFY rank < {k})"
 
 
-@query(f"WITH {_TOKENISED} SELECT term, doc_id, tf FROM post")
+@query(f"WITH {_TOKENISED} SELECT term, doc_id, tf, len(t) AS len FROM post JOIN tok USING (doc_id)")
 def postings(read, spark, folder):
-    return lexical.postings(lexical.tokens(read("documents")))
+    return lexical.postings(read("documents"))
+
+
+@query(f"WITH {_TOKENISED} SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM dfs) AS n_terms, n_docs, round(avgdl, 6) AS avgdl FROM st")
+def lexical_index(read, spark, folder):
+    """The index built, written and read back: the sizes of its tables."""
+    path = online.shared_folder(spark)
+    readers.write_tables(lexical.index(read("documents")), path)
+    t = readers.read_index(spark, path)
+    sizes = t["postings"].agg(F.count("*").alias("n_postings")).crossJoin(t["terms"].agg(F.count("*").alias("n_terms")))  # one row each
+    return sizes.crossJoin(t["stats"]).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def _idf(read, variant: str) -> DataFrame:
-    every = lexical.tokens(read("documents"))
-    return lexical.idf(lexical.postings(every), lexical.statistics(every), variant).withColumn("idf", F.round("idf", 6))
+    t = lexical.index(read("documents"))
+    return lexical.idf(t["terms"], t["stats"], variant).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_TOKENISED} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM dfs, st")
@@ -365,12 +554,44 @@ def idf_robertson(read, spark, folder):
 
 @query(f"WITH {_BM25}, {bm25_sql(5)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(read, spark, folder):
+    """Search of the stored index."""
+    return rounded(lexical.search(stored_terms(read, spark, folder), questions(read), 5))
+
+
+@query(f"WITH {_BM25}, {bm25_sql(5)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
+def bm25_unindexed(read, spark, folder):
+    """The same without an index."""
     return rounded(lexical.bm25(read("documents"), questions(read), 5))
 
 
-@query(f"WITH {_BM25}, {bm25_sql(5, chr(108) + 'ang = ' + quoted(['fr']))} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
+@query(f"WITH {_BM25}, {bm25_sql(5, 'lang = ' + quoted(['fr']))} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
 def bm25_filtered(read, spark, folder):
-    return rounded(lexical.bm25(read("documents"), questions(read), 5, read("documents").filter("lang = 'fr'")))
+    return rounded(lexical.search(stored_terms(read, spark, folder), questions(read), 5, read("documents").filter("lang = 'fr'")))
+
+
+#: The same word as texts and questions write it: alef and lam in the wrong order, with marks, with other letters.
+_SPELLED = "text || CASE WHEN doc_id % 6 = 0 THEN repeat(' المقاولات', (doc_id % 5 + 1)::INTEGER) WHEN doc_id % 6 = 1 THEN ' المقاوالت ومُقاولة' ELSE '' END"
+
+
+def spelled(docs: DataFrame) -> DataFrame:
+    k = F.col("doc_id") % 6
+    more = F.when(k == 0, F.repeat(F.lit(" المقاولات"), (F.col("doc_id") % 5 + 1).cast("int"))).when(k == 1, " المقاوالت ومُقاولة").otherwise("")
+    return docs.select("doc_id", F.concat("text", more).alias("text"))
+
+
+_ASKED = [(0, "المقاوالت"), (1, "المقاولات الكبرى"), (2, "ومقاوله")]
+
+
+@query(
+    "WITH "
+    + tokenised_sql(TOKENS_SQL.format(NORM_SQL.format(_SPELLED)))
+    + ", "
+    + scored_sql(f"SELECT qid, unnest({TOKENS_SQL.format(NORM_SQL.format('q'))}) AS term FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _ASKED) + ") v(qid, q)")
+    + f", {bm25_sql(20)} SELECT qid::BIGINT AS qid, doc_id, round(score, 6) AS score, rank FROM bm"
+)
+def bm25_arabic(read, spark, folder):
+    """Questions and documents that spell a word in different ways find each other by the normal form."""
+    return rounded(lexical.bm25(spelled(read("documents")), spark.createDataFrame(_ASKED, "qid bigint, question string"), 20))
 
 
 # Fusion ----------------------------------------------------------------------
@@ -415,26 +636,46 @@ def weighted_minmax(read, spark, folder):
 
 
 _OVERLAP = f"CASE WHEN len({CONTENT_SQL.format('b.q')}) > 0 THEN len(list_intersect({CONTENT_SQL.format('b.q')}, {CONTENT_SQL.format('d.text')})) / len({CONTENT_SQL.format('b.q')}) ELSE 0 END"
-_HYBRID = f"""{_BM25}, {bm25_sql(20)},
-ov AS (SELECT qid, doc_id, {_OVERLAP} AS score FROM bm JOIN (SELECT item_id AS qid, left(text, 80) AS q FROM benchmark) b USING (qid) JOIN documents d USING (doc_id)),
+_RERANKED = f"""{_BM25}, {bm25_sql(20)},
+ov AS (SELECT qid, doc_id, {_OVERLAP} AS score FROM bm JOIN (SELECT item_id AS qid, text AS q FROM benchmark) b USING (qid) JOIN documents d USING (doc_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM ov)"""
 
 
-def candidates(read) -> DataFrame:
-    found = lexical.bm25(read("documents"), questions(read), 20)
+def candidates(read, spark, folder, k: int = 20) -> DataFrame:
+    """The best documents of each question, with what rerankers, quotas and prompts need of them."""
+    found = lexical.search(stored_terms(read, spark, folder), questions(read), k)
     return found.join(questions(read), "qid").join(read("documents").select("doc_id", "text", "lang", "source"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
 
 
-@query(fused_sql("1.0 / (60 + rank + 1)", _HYBRID + ", l AS (SELECT qid, 0 AS list_id, doc_id AS chunk_id, rank FROM o UNION ALL SELECT qid, 1, doc_id, rank FROM bm)"))
+_BOTH = f"""{_BM25}, {bm25_sql(60)},
+de AS (SELECT q.vec_id AS qid, c.vec_id AS doc_id, round({_COS}, 9) AS score FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, c.vec_id) <= 60),
+l AS (SELECT qid, 0 AS list_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM de UNION ALL SELECT qid, 1, doc_id, score, rank FROM bm)"""
+
+
+def both_engines(read, spark, folder) -> tuple[DataFrame, DataFrame]:
+    """A dense and a lexical list of each question, twice the 30 that fusion keeps. The vector of the same number stands for a question's and a document's embedding."""
+    asked = read("embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(questions(read).select("qid"), "qid", "left_semi")
+    dense = vectors.knn(asked, read("embeddings"), 60).withColumnRenamed("vec_id", "chunk_id")
+    return dense, lexical.search(stored_terms(read, spark, folder), questions(read), 60).withColumnRenamed("doc_id", "chunk_id")
+
+
+@query(fused_sql("1.0 / (60 + rank + 1)", _BOTH))
 def hybrid_rrf(read, spark, folder):
-    """BM25 fused with the content-word scorer in place of a dense engine."""
-    found = candidates(read)
-    return rounded(fusion.hybrid(fusion.rerank(found, 20), found.select("qid", "chunk_id", "score", "rank")))
+    """BM25 from the stored index fused with a dense engine."""
+    return rounded(fusion.hybrid(*both_engines(read, spark, folder)))
+
 
+_BOTH_SCALED = _BOTH.replace("\nl AS (", "\nl0 AS (", 1) + ", l AS (SELECT qid, list_id, chunk_id, rank, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM l0 WINDOW w AS (PARTITION BY qid, list_id))"
 
-@query(f"WITH {_HYBRID} SELECT qid, doc_id AS chunk_id, round(score, 6) AS score, rank FROM o WHERE rank < 5")
+
+@query(fused_sql("0.5 * score", _BOTH_SCALED))
+def hybrid_weighted(read, spark, folder):
+    return rounded(fusion.hybrid(*both_engines(read, spark, folder), "weighted"))
+
+
+@query(f"WITH {_RERANKED} SELECT qid, doc_id AS chunk_id, round(score, 6) AS score, rank FROM o WHERE rank < 5")
 def rerank_topk(read, spark, folder):
-    return rounded(fusion.rerank(candidates(read), 5))
+    return rounded(fusion.rerank(candidates(read, spark, folder), 5))
 
 
 def quota_sql(group: str) -> str:
@@ -447,30 +688,43 @@ SELECT qid, chunk_id, round(score, 6) AS score, g AS {group}, rank FROM r WHERE
 
 @query(quota_sql("lang"))
 def quota_by_lang(read, spark, folder):
-    return rounded(fusion.balanced(candidates(read), "lang", 10))
+    return rounded(fusion.balanced(candidates(read, spark, folder), "lang", 10))
 
 
 @query(quota_sql("source"))
 def quota_by_source(read, spark, folder):
-    return rounded(fusion.balanced(candidates(read), "source", 10))
+    return rounded(fusion.balanced(candidates(read, spark, folder), "source", 10))
 
 
-@query("SELECT source, arg_max(doc_id, {'a': quality, 'b': doc_id}) AS kept, count(*) - 1 AS n_set_aside, min(quality) < max(quality) AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source")
-def conflict_resolution(read, spark, folder):
+_RULE = "SELECT source, arg_max(doc_id, {'a': quality, 'b': doc_id}) AS kept, count(*) - 1 AS n_set_aside, min(quality) < max(quality) AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source"
+
+
+def dated(read) -> DataFrame:
     """Authority is the quality label, the date the order of ids."""
     rows = read("documents").select("doc_id", "source").join(read("labels").select("doc_id", "quality"), "doc_id")
-    return fusion.resolve(rows.withColumn("day", F.col("doc_id")), "source", "quality", "day", "doc_id")
+    return rows.withColumn("day", F.col("doc_id"))
+
+
+@query(_RULE)
+def conflict_resolution(read, spark, folder):
+    return fusion.resolve(dated(read), "source", "quality", "day", "doc_id")
+
+
+@query(f"SELECT doc_id, source, kept, quality FROM documents JOIN labels USING (doc_id) JOIN ({_RULE}) USING (source) WHERE doc_id <> kept")
+def conflict_set_aside(read, spark, folder):
+    """The passages that give way, with the one that holds."""
+    return fusion.set_aside(dated(read), "source", "quality", "day", "doc_id").select("doc_id", "source", "kept", "quality")
 
 
 # Metrics ---------------------------------------------------------------------
 
 
 def run_and_judged(read) -> tuple[DataFrame, DataFrame]:
-    """Two configurations on the dense queries; gain 3 for the same label, 1 for the next, self excluded."""
+    """Two configurations on the dense queries, one of which answers every third by nothing; gain 3 for the same label, 1 for the next, self excluded."""
     lists = two_lists(read)
-    run = lists.filter("rank < 10").select(F.when(F.col("list_id") == 0, "cosine").otherwise("half").alias("config"), "qid", "chunk_id", "rank")
+    run = lists.filter("rank < 10 AND NOT (list_id = 1 AND qid % 150 = 100)").select(F.when(F.col("list_id") == 0, "cosine").otherwise("half").alias("config"), "qid", "chunk_id", "rank")
     e = read("embeddings").select("vec_id", "label")
-    asked = e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
     judged = asked.join(e, (F.abs(F.col("own") - F.col("label")) <= 1) & (F.col("qid") != F.col("vec_id")))
     return run, judged.select("qid", F.col("vec_id").alias("chunk_id"), F.when(F.col("own") == F.col("label"), 3.0).otherwise(1.0).alias("gain"))
 
@@ -478,11 +732,12 @@ def run_and_judged(read) -> tuple[DataFrame, DataFrame]:
 def _metrics_sql() -> str:
     per = ", ".join(f"count(DISTINCT CASE WHEN gain > 0 AND rank < {k} THEN chunk_id END) AS h{k}" for k in metrics.KS)
     out = ", ".join([f"h{k} / n_relevant AS recall_{k}" for k in metrics.KS] + [f"CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_{k}" for k in metrics.KS] + [f"h{k} / {k} AS precision_{k}" for k in metrics.KS])
-    return f"""{_LISTS}, run AS (SELECT CASE list_id WHEN 0 THEN 'cosine' ELSE 'half' END AS config, qid, chunk_id, rank FROM l WHERE rank < 10),
-j AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, CASE WHEN q.label = c.label THEN 3.0 ELSE 1.0 END AS gain FROM embeddings q JOIN embeddings c ON abs(q.label - c.label) <= 1 AND q.vec_id <> c.vec_id WHERE q.vec_id < 20),
+    return f"""{_LISTS}, run AS (SELECT CASE list_id WHEN 0 THEN 'cosine' ELSE 'half' END AS config, qid, chunk_id, rank FROM l WHERE rank < 10 AND NOT (list_id = 1 AND qid % 150 = 100)),
+asked AS (SELECT * FROM (VALUES ('cosine'), ('half')) c(config), (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0)),
+j AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, CASE WHEN q.label = c.label THEN 3.0 ELSE 1.0 END AS gain FROM embeddings q JOIN embeddings c ON abs(q.label - c.label) <= 1 AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 rel AS (SELECT qid, count(*) AS n_relevant FROM j GROUP BY qid),
 idl AS (SELECT qid, sum(gain / log2(k + 1)) AS ideal FROM (SELECT qid, gain, row_number() OVER (PARTITION BY qid ORDER BY gain DESC) AS k FROM j) WHERE k <= 10 GROUP BY qid),
-x AS (SELECT config, qid, n_relevant, ideal, coalesce(1 / (min(CASE WHEN gain > 0 THEN rank END) + 1), 0) AS mrr, coalesce(sum(gain / log2(rank + 2)), 0) AS dcg, {per} FROM run LEFT JOIN j USING (qid, chunk_id) JOIN rel USING (qid) JOIN idl USING (qid) GROUP BY ALL),
+x AS (SELECT config, qid, n_relevant, ideal, coalesce(1 / (min(CASE WHEN gain > 0 THEN rank END) + 1), 0) AS mrr, coalesce(sum(gain / log2(rank + 2)), 0) AS dcg, {per} FROM asked LEFT JOIN run USING (config, qid) LEFT JOIN j USING (qid, chunk_id) JOIN rel USING (qid) JOIN idl USING (qid) GROUP BY ALL),
 pq AS (SELECT config, qid, n_relevant, {out}, mrr, dcg / ideal AS ndcg_10 FROM x)"""
 
 
@@ -492,6 +747,15 @@ _MACRO = "count(*) AS n_queries, round(avg(n_relevant), 6) AS relevant_per_query
 _DIAGNOSIS = "CASE WHEN avg(hit_10) < 0.5 THEN 'representation' WHEN avg(hit_10) - avg(hit_1) > 0.15 THEN 'classement' ELSE 'sain' END AS diagnosis"
 
 
+def asked_all(read) -> DataFrame:
+    """Both configurations with every question."""
+    return asked_vectors(read).select("qid", F.explode(F.array(F.lit("cosine"), F.lit("half"))).alias("config"))
+
+
+def compared(read) -> DataFrame:
+    return metrics.compare(*run_and_judged(read), asked=asked_all(read))
+
+
 def six(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
 
@@ -501,7 +765,7 @@ def measures_sql(prefix: str) -> str:
 
 
 def measured(read, prefix: str) -> DataFrame:
-    return six(metrics.per_query(*run_and_judged(read)).select("config", "qid", *[m for m in _MEASURES if m.startswith(prefix)]))
+    return six(metrics.per_query(*run_and_judged(read), asked=asked_all(read)).select("config", "qid", *[m for m in _MEASURES if m.startswith(prefix)]))
 
 
 @query(measures_sql("recall"))
@@ -531,19 +795,17 @@ def ndcg(read, spark, folder):
 
 @query(f"WITH {_METRICS} SELECT config, {_MACRO} FROM pq GROUP BY config")
 def evaluate_macro(read, spark, folder):
-    return six(metrics.compare(*run_and_judged(read)).drop("diagnosis"))
+    return six(compared(read).drop("diagnosis"))
 
 
 @query(f"WITH {_METRICS} SELECT config, {_DIAGNOSIS} FROM pq GROUP BY config")
 def diagnostic(read, spark, folder):
-    return metrics.compare(*run_and_judged(read)).select("config", "diagnosis")
+    return compared(read).select("config", "diagnosis")
 
 
 @query(f"WITH {_METRICS}, c AS (SELECT config, {_MACRO}, {_DIAGNOSIS} FROM pq GROUP BY config) SELECT *, row_number() OVER (ORDER BY recall_10 DESC, config) AS place FROM c")
 def compare_runs(read, spark, folder):
-    from pyspark.sql import Window
-
-    out = six(metrics.compare(*run_and_judged(read)))
+    out = six(compared(read))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("recall_10").desc(), "config")))  # one row for each configuration
 
 
@@ -553,19 +815,48 @@ _BY_TYPE = f"WITH {_METRICS}, t AS (SELECT pq.*, e.label::VARCHAR AS type FROM p
 @query(_BY_TYPE)
 def per_type_rollup(read, spark, folder):
     types = read("embeddings").select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("type"))
-    return six(metrics.breakdown(*run_and_judged(read), types, "type"))
+    return six(metrics.breakdown(*run_and_judged(read), types, "type", asked=asked_all(read)))
 
 
 @query(f"WITH {_METRICS}, t AS (SELECT pq.*, 's' || qid % 3 AS source FROM pq) SELECT config, source, {_MACRO} FROM t GROUP BY config, source")
 def per_source_report(read, spark, folder):
     run, judged = run_and_judged(read)
     sources = read("embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("source"))
-    return six(metrics.breakdown(run, judged, sources, "source").filter("source <> 'TOUS'"))
+    return six(metrics.breakdown(run, judged, sources, "source", asked=asked_all(read)).filter("source <> 'TOUS'"))
+
+
+_CSV = ", ".join(f"round(avg(hit_{k}), 6) AS \"hit@{k}\"" for k in metrics.KS)
+
+
+@query(f"WITH {_METRICS}, t AS (SELECT pq.*, e.label::VARCHAR AS type FROM pq JOIN embeddings e ON e.vec_id = qid) SELECT CASE WHEN grouping(type) = 1 THEN 'TOUS' ELSE type END AS type, config AS configuration, count(*)::INTEGER AS n_requetes, round(avg(n_relevant), 6) AS pertinents_par_requete, {_CSV}, round(avg(mrr), 6) AS mrr, round(avg(recall_10), 6) AS \"recall@10\", {_DIAGNOSIS.replace(' AS diagnosis', '')} AS diagnostic FROM t GROUP BY GROUPING SETS ((config), (config, type))")
+def retrieval_csv(read, spark, folder):
+    """The retrieval report, written as CSV and read again."""
+    path, types = online.shared_folder(spark), read("embeddings").select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("type"))
+    readers.write_report(metrics.report(*run_and_judged(read), types, asked_all(read)), path)
+    return six(readers.read_report(spark, path).withColumn("type", F.col("type").cast("string")))
+
+
+@query(f"WITH {_LISTS} SELECT CASE list_id WHEN 0 THEN 'cosine' ELSE 'half' END AS config, qid::VARCHAR AS qid, chunk_id::VARCHAR AS chunk_id, rank::INTEGER AS rank FROM l WHERE rank < 10 AND NOT (list_id = 1 AND qid % 150 = 100)")
+def runs_json(read, spark, folder):
+    """A run of each configuration, written as JSON and read again."""
+    path, run = online.shared_folder(spark), run_and_judged(read)[0]
+    readers.write_run(run.select("config", F.col("qid").cast("string").alias("qid"), F.col("chunk_id").cast("string").alias("chunk_id"), "rank"), path)
+    return readers.read_run(spark, path)
+
+
+@query("SELECT round(100 * avg((quality = 1)::INT), 6) AS good, round(100 * avg((toxic = 1)::INT), 6) AS toxic FROM labels")
+def boolean_percentages(read, spark, folder):
+    return six(metrics.percentages(read("labels").select((F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")), ("good", "toxic")))
+
+
+@query("WITH d AS (SELECT DISTINCT n_chars FROM documents), r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS k, count(*) OVER () // 20 AS step FROM d) SELECT n_chars FROM r WHERE k % step = 0 AND k < 20 * step")
+def systematic_sample(read, spark, folder):
+    return metrics.systematic(read("documents"), "n_chars", 20)
 
 
 @query(f"WITH {_METRICS}, h AS (SELECT qid, bool_or(config = 'cosine' AND hit_1 > 0) AS a, bool_or(config = 'half' AND hit_1 > 0) AS b FROM pq GROUP BY qid), n AS (SELECT count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM h) SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(factorial((only_a + only_b)::INTEGER) / (factorial(i::INTEGER) * factorial((only_a + only_b - i)::INTEGER))) FROM range(least(only_a, only_b) + 1) t(i)) / pow(2.0, only_a + only_b)) END, 6) AS p FROM n")
 def mcnemar(read, spark, folder):
-    rows = metrics.per_query(*run_and_judged(read))
+    rows = metrics.per_query(*run_and_judged(read), asked=asked_all(read))
     hits = rows.groupBy("qid").agg(F.bool_or((F.col("config") == "cosine") & (F.col("hit_1") > 0)).alias("a"), F.bool_or((F.col("config") == "half") & (F.col("hit_1") > 0)).alias("b"))
     return six(metrics.mcnemar(hits))
 
@@ -573,45 +864,94 @@ def mcnemar(read, spark, folder):
 # Question sets and generation --------------------------------------------------
 
 
-@query(f"SELECT item_id, round_even(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END, 2) AS overlap FROM (SELECT item_id, {CONTENT_SQL.format('left(text, 80)')} AS q, {CONTENT_SQL.format('text[41:]')} AS a FROM benchmark)")
+@query(f"SELECT item_id, round_even(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END, 2) AS overlap FROM (SELECT item_id, {CONTENT_SQL.format('b.text')} AS q, {CONTENT_SQL.format('d.text')} AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)")
 def lexical_overlap(read, spark, folder):
-    return read("benchmark").select("item_id", golden.lexical_overlap(F.substring("text", 1, 80), F.substring("text", 41, 1 << 30)).alias("overlap"))
+    docs = read("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer"))
+    return read("benchmark").join(docs, "item_id").select("item_id", golden.lexical_overlap(F.col("text"), F.col("answer")).alias("overlap"))
 
 
 @query(f"WITH d AS (SELECT {FORM_SQL.format('text')} AS t FROM documents) SELECT item_id, EXISTS (SELECT 1 FROM d WHERE contains(d.t, p.t)) AS verified FROM (SELECT item_id, {FORM_SQL.format('text')} AS t FROM benchmark) p")
-def golden_audit(read, spark, folder):
+def evidence_in_documents(read, spark, folder):
     """Is each benchmark item's text whole in some document?"""
     items = read("benchmark")
-    found = chunking.contained(items, read("documents")).withColumn("found", F.lit(True))
+    found = chunking.contained(items, read("documents").withColumnRenamed("doc_id", "id")).withColumn("found", F.lit(True))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("verified"))
 
 
+def articles(read) -> DataFrame:
+    """Documents as chunks: each begins with the heading of an article; some only refer to one."""
+    k = F.col("doc_id")
+    text = F.concat(F.lit("Article "), k.cast("string"), F.when(k % 10 == 9, " du code ").otherwise("\n"), F.col("text"))
+    return read("documents").select(k.cast("string").alias("id"), F.concat(F.lit("article "), k.cast("string")).alias("unit_ref"), F.lit("fr").alias("lang"), text.alias("text"))
+
+
+def asked_articles(read) -> DataFrame:
+    """A question of each benchmark item: every fifth is unanswerable, as long as the corpus has not the item's fifth word."""
+    k = F.col("item_id")
+    term = F.split(T.compare_form(F.col("text")), " ")[4]
+    return read("benchmark").select(
+        k.cast("string").alias("qid"), F.when(k % 5 == 4, "unanswerable").when(k % 2 == 0, "semantic").otherwise("exact_match").alias("type"), F.lit("fr").alias("lang"), F.col("text").alias("question"),
+        k.cast("int").alias("article"), F.lit("a").alias("expected_answer"), F.concat(F.lit("article "), k.cast("string")).alias("evidence"),
+        F.array(F.when(k % 10 == 4, F.concat(term, F.lit("zq"))).otherwise(term)).alias("absent_terms"),
+    )
+
+
+@query(
+    rf"""WITH b AS (SELECT item_id, item_id % 5 <> 4 AS ok, text, string_split({FORM_SQL.format('text')}, ' ')[5] || CASE WHEN item_id % 10 = 4 THEN 'zq' ELSE '' END AS term FROM benchmark),
+d AS (SELECT doc_id, 'Article ' || doc_id || chr(10) || text AS text, regexp_matches('Article ' || doc_id || ' ' || text, '^Article \d+\s+(ci-|du |de la |de l''|des )') OR doc_id % 10 = 9 AS refers, 'article ' || doc_id || CASE WHEN doc_id % 10 = 9 THEN ' du code ' ELSE ' ' END || {FORM_SQL.format('text')} AS form FROM documents),
+x AS (SELECT b.*, NOT ok AND EXISTS (SELECT 1 FROM d WHERE regexp_matches(form, '(^|[^a-zà-ÿ])' || regexp_escape(term) || '($|[^a-zà-ÿ])')) AS there, h.doc_id, h.text AS t FROM b LEFT JOIN d h ON h.doc_id = item_id AND NOT refers)
+SELECT item_id::VARCHAR AS qid, ok AS answerable, CASE WHEN ok THEN 'article ' || item_id END AS article_ref, CASE WHEN ok THEN doc_id IS NOT NULL END AS evidence_verified,
+CASE WHEN doc_id IS NULL OR NOT ok AND item_id IS NULL THEN [] ELSE [doc_id::VARCHAR] END AS relevant_chunk_ids,
+CASE WHEN ok THEN round_even(CASE WHEN len({CONTENT_SQL.format('text')}) > 0 THEN len(list_intersect({CONTENT_SQL.format('text')}, {CONTENT_SQL.format("coalesce(t, '')")})) / len({CONTENT_SQL.format('text')}) ELSE 0 END, 2) END AS lexical_overlap,
+(CASE WHEN ok AND doc_id IS NULL THEN 2 ELSE 0 END + CASE WHEN there THEN 1 ELSE 0 END)::INTEGER AS n_failures FROM x"""
+)
+def golden_audit(read, spark, folder):
+    """A question set built and audited: articles found by heading, evidence checked, absent terms looked for, copying measured."""
+    built = golden.build(asked_articles(read), articles(read))
+    return built.select("qid", "answerable", "article_ref", "evidence_verified", "relevant_chunk_ids", "lexical_overlap", F.size("failures").alias("n_failures"))
+
+
+@query("SELECT CASE WHEN item_id % 5 = 4 THEN 'unanswerable' WHEN item_id % 2 = 0 THEN 'semantic' ELSE 'exact_match' END AS type, count(*) AS n FROM benchmark GROUP BY 1")
+def golden_counts(read, spark, folder):
+    return golden.counts(asked_articles(read))
+
+
 @query("SELECT count(*) AS n, round(avg((quality = toxic)::INT), 6) AS agreement, round(corr(quality, toxic), 6) AS correlation FROM labels")
 def judge_agreement(read, spark, folder):
     return six(golden.calibration(read("labels").select(F.col("quality").alias("hand"), F.col("toxic").alias("judge"))))
 
 
-def top_passages(read) -> DataFrame:
-    return candidates(read).filter("rank < 3").select("qid", "rank", F.col("source").alias("source_id"), F.lit("").alias("unit_ref"), "lang", "text")
+def top_passages(read, spark, folder) -> DataFrame:
+    return candidates(read, spark, folder, 3).select("qid", "rank", F.col("source").alias("source_id"), F.lit("").alias("unit_ref"), "lang", "text")
 
 
 _CONTEXT = rf"""WITH {_BM25}, {bm25_sql(3)}, c AS (SELECT bm.qid, count(*) AS n, string_agg('[' || (rank + 1) || '] (' || d.source || ' — sans reference — ' || d.lang || ')' || chr(10) || trim(regexp_replace(d.text, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY rank) AS context FROM bm JOIN documents d USING (doc_id) GROUP BY bm.qid)"""
-_PROMPT_SQL = "'" + fixed.PROMPT.replace("'", "''").replace("{refusal}", fixed.REFUSAL).replace("{context}", "' || context || '").replace("{question}", "' || left(b.text, 80) || '") + "'"
+_PROMPT_SQL = "'" + fixed.PROMPT.replace("'", "''").replace("{refusal}", fixed.REFUSAL).replace("{context}", "' || context || '").replace("{question}", "' || b.text || '") + "'"
 
 
 @query(_CONTEXT + " SELECT qid, n, context FROM c")
 def build_context(read, spark, folder):
-    return generation.context(top_passages(read))
+    return generation.context(top_passages(read, spark, folder))
 
 
 @query(_CONTEXT + f" SELECT qid, {_PROMPT_SQL} AS prompt FROM c JOIN benchmark b ON b.item_id = qid")
 def build_prompt(read, spark, folder):
-    return questions(read).join(generation.context(top_passages(read)), "qid").select("qid", T.prompt(F.col("question"), F.col("context")).alias("prompt"))
+    return questions(read).join(generation.context(top_passages(read, spark, folder)), "qid").select("qid", T.prompt(F.col("question"), F.col("context")).alias("prompt"))
 
 
 @query()
 def generate(read, spark, folder):
-    return generation.generate(questions(read), top_passages(read)).select("qid", "answer", "refused", "citations.valid", "citations.sound")
+    return generation.generate(questions(read), top_passages(read, spark, folder)).select("qid", "answer", "refused", "citations.valid", "citations.sound")
+
+
+@query(r"WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents WHERE length(array_to_string(regexp_extract_all(text, '\S+'), ' ')) >= 20) SELECT count(*) AS n_docs, count(*) AS n_chunks, median(n)::DOUBLE AS median_tokens, 64 AS dim, true AS answered, true AS cited, 3 AS n_stages FROM c")
+def ask_end_to_end(read, spark, folder):
+    """From documents to cited answers: chunks, both indexes and meta are written, questions retrieved, reranked and answered from what was written, with a latency of each stage."""
+    docs = docs_of(read)
+    index = pipeline.load(spark, built(spark, folder, "end to end", lambda path: pipeline.build(docs, path, "fixed", most=1 << 30)))
+    done = pipeline.answer(index, questions(read), online.shared_folder(spark))
+    checks = done.rows.agg(F.bool_and(~F.col("refused")).alias("answered"), F.bool_and(F.col("citations.sound") & (F.size("citations.valid") > 0)).alias("cited"))
+    return index.meta.select("n_docs", "n_chunks", "median_tokens", "dim").crossJoin(checks).withColumn("n_stages", F.lit(len(done.latency_ms)))  # one row each
 
 
 # Online ----------------------------------------------------------------------
@@ -633,16 +973,24 @@ def response_cache_hits(read, spark, folder):
     return online.cache_hits(read("events"), "user_id", "event_type")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def query_stats_stream(read, spark, folder):
-    """The same statistics by a stream; windows that the watermark has not closed are still open."""
-    return online.run_available(online.stream_stats(online.log_stream(spark, folder)))
+    """The same windows by a stream, closed and still open ones; percentiles are a sketch's and not compared."""
+    stats = online.run_available(online.stream_stats(online.log_stream(spark, folder)), "update", ("window_start", "event_type"))
+    return stats.filter("p50 <= p95").select("window_start", "event_type", "n")
 
 
-@query()
+@query("SELECT sum(n)::BIGINT AS requests, round(1 - count(*) / sum(n), 6) AS cache_rate, sum(took)::BIGINT AS tokens FROM (SELECT count(*) AS n, arg_min(event_id % 100, {'a': ts, 'b': event_id % 100}) AS took FROM events GROUP BY user_id, event_type)")
+def service_stats(read, spark, folder):
+    log = read("events").withColumn("tokens", F.col("event_id") % 100)
+    return six(online.service_stats(log, "user_id", "event_type").filter("p50 <= p95").drop("p50", "p95"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def response_cache_stream(read, spark, folder):
-    first = online.stream_first(online.log_stream(spark, folder), "user_id", "event_type", late="1 day")
-    return online.run_available(first.select("event_id", "ts", "user_id", "event_type"))
+    """The requests that a cache of all keys can't answer: as many as there are keys."""
+    first = online.stream_first(online.log_stream(spark, folder), "user_id", "event_type", late="3650 days")
+    return online.run_available(first.select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

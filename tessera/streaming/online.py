@@ -23,6 +23,17 @@ def stream_stats(log: DataFrame, every: str = "1 hour", late: str = LATE) -> Dat
     return query_stats(log.withWatermark("ts", late), every, exact=False)
 
 
+def service_stats(log: DataFrame, *key: str) -> DataFrame:
+    """One row about a query log (ts, value: latency, tokens): requests, latency p50 and p95 by a sketch, the share that a response cache answers, tokens in all.
+
+    A request with the key of an earlier one is answered by the cache and takes no tokens; of each key one request, the first, takes any.
+    """
+    first = log.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("ts", F.col("tokens").alias("took"))).alias("first"))
+    by_key = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), (1 - F.count("*") / F.greatest(F.sum("n"), F.lit(1))).alias("cache_rate"), F.coalesce(F.sum("first.took"), F.lit(0)).alias("tokens"))
+    p = log.agg(F.percentile_approx("value", 0.5, 10_000).alias("p50"), F.percentile_approx("value", 0.95, 10_000).alias("p95"))
+    return by_key.crossJoin(p)  # one row each
+
+
 def cache_hits(log: DataFrame, *key: str) -> DataFrame:
     """Requests and hits of a response cache for each event type: a request hits if an earlier one had its key.
 
@@ -47,13 +58,22 @@ def drift(recent: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir where it is set."""
+    """A fresh folder that driver and executors share, below spark.checkpoint.dir where it is set; it goes when the application ends."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    path = f"{top}/tessera-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
 
+def run_available(stream: DataFrame, mode: str = "append", key: tuple[str, ...] = ()) -> DataFrame:
+    """All that a stream has now, written as Parquet with its own checkpoint and read back.
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream has now, written as Parquet with its own checkpoint and read back."""
+    mode update also has what is still open, windows that the watermark has not passed: of rows with the same key the
+    last batch's holds.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark)
 
@@ -62,7 +82,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    if not key:
+        return rows.select(stream.columns)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return last.select("row.*")
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
