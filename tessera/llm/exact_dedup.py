@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._common import lookup, scratch, stored, text_or_empty
 
 WHITE = " \t\n\x0b\x0c\r"
-INDEX = "digest binary, keep_id bigint, n_chars bigint, keep_row bigint, batch string"
+INDEX = "digest binary, keep_id bigint, n_chars bigint, batch string"
 
 
 def normalised(text: Column) -> Column:
@@ -40,11 +40,15 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, groups: DataFrame, batch: str) -> None:
-        """groups whose digest the index lacks are added to it. One file for each bucket and batch."""
+        """groups whose digest the index lacks are added to it, so a batch that was cut off may be appended again. One file for each bucket and batch."""
         new = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
         (
-            new.select("digest", F.col("top.keep_id").alias("keep_id"), F.col("top.n_chars").alias("n_chars"), F.col("top.row").alias("keep_row"), F.lit(batch).alias("batch"))
+            new.select("digest", F.col("top.keep_id").alias("keep_id"), F.col("top.n_chars").alias("n_chars"), F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .sortWithinPartitions("digest")
             .write.mode("append").insertInto(self.name)
@@ -52,16 +56,18 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, seen_before.
 
     Texts are equal if the same without ASCII white space; a null text counts as empty. Of
     equal texts the row with most code points, then the smallest doc_id stays; a null doc_id
     comes after all others; of wholly equal rows one stays. If an earlier batch had the text
-    (seen_before), none stays and keep_id names its row. group_size counts this batch. An
+    (seen_before), none stays and keep_id names its row. group_size counts this batch.
+
+    batch names docs: what the index has from a batch of this name is the batch's own, so a
+    batch whose result was lost may be run again with the same result and adds nothing twice. An
     empty table gives no rows. Further columns of docs are not read, whatever their names.
     """
-    batch = uuid.uuid4().hex
     rows = stored(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -74,9 +80,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("back"), (-F.col("row")).alias("last"), F.col("doc_id").alias("keep_id"), "row"))
     groups = stored(rows.groupBy("digest").agg(best.alias("top"), F.count("*").alias("group_size")), "groups")
     index.append(groups, batch)
+    before = F.col("batch") != batch
     known = stored(
-        groups.select("digest", "group_size").hint("merge").join(index.table(), "digest")
-        .select("digest", "group_size", F.col("keep_id").alias("in_keep"), F.col("keep_row"), (F.col("batch") != batch).alias("seen_before")),
+        groups.hint("merge").join(index.table().select("digest", "batch", F.col("keep_id").alias("in_keep")), "digest")
+        .select("digest", "group_size", F.when(before, F.col("in_keep")).otherwise(F.col("top.keep_id")).alias("in_keep"), F.col("top.row").alias("keep_row"), before.alias("seen_before")),
         "known",
     )
     out = lookup(rows, known, "digest", "group_size", rows.count())
@@ -92,8 +99,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return deduplicate(docs, DigestIndex(spark, scratch(spark, "index"), buckets)).drop("seen_before")
+    index = DigestIndex(spark, scratch(spark, "index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = deduplicate(docs, index, "documents").drop("seen_before")
+    index.drop()  # the rows come from tables of their own
+    return out
 
 
 SQL = r"""
