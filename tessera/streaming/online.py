@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import vectors
@@ -12,10 +12,44 @@ from ..operators import vectors
 LATE = "10 minutes"
 
 
+#: Groups of at most as many rows are sorted by themselves; what a sketch may be off, as a share of a group, and how far from a quantile it is asked.
+SMALL, ACCURACY, APART = 10_000, 10_000, 5e-4
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], column: str, ps: tuple[float, ...]) -> DataFrame:
+    """by, n and p (one exact, interpolated percentile each), however hot a group is.
+
+    A large group's percentiles lie between two values that a sketch names, with a thousandth of the rows between
+    them: rows below are counted, and only those between are put in order.
+    """
+    sizes = rows.groupBy(*by).agg(F.count(column).alias("n"))
+    sorted_whole = lambda df: df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(column, p).alias(f"p{k}") for k, p in enumerate(ps)])
+    if sizes.filter(F.col("n") > SMALL).isEmpty():
+        return sorted_whole(rows)
+    few = sorted_whole(rows.join(sizes.filter(F.col("n") <= SMALL), by, "left_semi"))
+    large = rows.join(sizes.filter(F.col("n") > SMALL).drop("n"), by, "left_semi")
+    around = [x for p in ps for x in (max(0.0, p - APART), min(1.0, p + APART))]
+    bounds = large.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(column, F.array(*map(F.lit, around)), ACCURACY).alias("at"))
+    held, out = large.join(bounds, by), bounds.select(*by, "n")
+    for k, p in enumerate(ps):
+        low, high = F.col("at")[2 * k], F.col("at")[2 * k + 1]
+        below = held.groupBy(*by).agg(F.count_if(F.col(column) < low).alias("below"))
+        inner = held.filter(F.col(column).between(low, high)).groupBy(*by, column).agg(F.count("*").alias("times"))
+        upto = F.sum("times").over(Window.partitionBy(*by).orderBy(column))
+        place = (F.col("n") - 1) * p
+        placed = inner.join(below, by).join(bounds.select(*by, "n"), by).withColumns({"end": F.col("below") + upto, "place": place})
+        value = lambda at: F.min(F.when(F.col("end") > at, F.col(column)))
+        got = placed.groupBy(*by).agg(value(F.floor("place")).alias("x"), value(F.ceil("place")).alias("y"), (F.first("place") - F.floor(F.first("place"))).alias("part"))
+        out = out.join(got.select(*by, (F.col("x") + F.col("part") * (F.col("y") - F.col("x"))).alias(f"p{k}")), by)
+    return few.unionByName(out)
+
+
 def query_stats(log: DataFrame, every: str = "1 hour", exact: bool = True) -> DataFrame:
-    """n, p50 and p95 of value for each window and event type. exact: by sorting, else by a sketch, which streams and hot windows take."""
-    p = (lambda q: F.percentile("value", q)) if exact else (lambda q: F.percentile_approx("value", q, 1000))
-    rows = log.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    """n, p50 and p95 of value for each window and event type. exact: in order, else by a sketch, which streams take."""
+    named = log.select(F.window("ts", every)["start"].alias("window_start"), "event_type", "value")
+    if exact:
+        return exact_percentiles(named, ["window_start", "event_type"], "value", (0.5, 0.95)).withColumnsRenamed({"p0": "p50", "p1": "p95"})
+    rows = log.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), *[F.percentile_approx("value", q, 1000).alias(c) for c, q in (("p50", 0.5), ("p95", 0.95))])
     return rows.select(F.col("w.start").alias("window_start"), "event_type", "n", "p50", "p95")
 
 
