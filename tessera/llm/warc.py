@@ -33,6 +33,10 @@ class Archive:
     def payloads(self) -> DataFrame:
         return self.spark.table(self.store)
 
+    def drop(self) -> None:
+        """Takes the store out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.store}")
+
     def headers(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/headers")
 
@@ -43,7 +47,8 @@ def write(pages: DataFrame, archive: Archive, date: str = "2024-01-01T00:00:00Z"
     The payload is html in UTF-8; null counts as empty. Of equal payloads of at least 1000
     bytes, the record with the largest page_id is the response and others revisit it; a row
     that repeats that page_id is a response too, and a null page_id only if all are null.
-    Line ends in url are percent-encoded; a null url leaves its header line out.
+    Line ends in url are percent-encoded; a null url leaves its header line out. An empty table
+    makes an empty archive; payloads of any length are stored whole; other columns, whatever their names, are not read.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
@@ -82,21 +87,18 @@ def field(name: str):
 
 def read(archive: Archive, total: int) -> DataFrame:
     """The archive's records: page_id, header, record (exact bytes), type and the parsed fields; ``verified`` holds
-    whether the stored payload has the length and both digests that were declared (revisits hold none and are true)."""
-    heads = archive.headers().withColumn("record_type", field("WARC-Type"))
-    full = heads.filter("record_type = 'response'")
+    whether the stored payload has the length and both digests that the header declares, for revisits too, which hold none."""
+    heads = archive.headers().withColumns({"record_type": field("WARC-Type"), "declared": field("WARC-Payload-Digest"), "declared_n": field("X-Payload-Length").cast("bigint")})
+    sound = lambda payload: (F.unhex(F.sha2(payload, 256)) == F.col("digest")) & (F.concat(F.lit("sha1:"), F.sha1(payload)) == F.col("declared")) & (F.octet_length(payload) == F.col("declared_n"))
     # A digest has several responses only below LEAST bytes, so the payloads that lookup() broadcasts are small.
-    full = lookup(full.drop("copies"), archive.payloads().select("digest", "payload", F.when(F.col("n") < LEAST, F.col("copies")).otherwise(1).alias("copies")), "digest", "copies", total)
-    full = full.withColumn(
-        "verified",
-        (F.unhex(F.sha2("payload", 256)) == F.col("digest"))
-        & (F.concat(F.lit("sha1:"), F.sha1("payload")) == field("WARC-Payload-Digest"))
-        & (F.octet_length("payload") == field("Content-Length").cast("bigint")),
-    )
-    full = full.select("page_id", "header", "record_type", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.lit(b"\r\n\r\n")).alias("record"), "verified")
-    revisits = heads.filter("record_type = 'revisit'").select(
-        "page_id", "header", "record_type", F.concat(F.encode("header", "UTF-8"), F.lit(b"\r\n\r\n")).alias("record"), F.lit(True).alias("verified")
-    )
+    full = lookup(heads.filter("record_type = 'response'").drop("copies"), archive.payloads().select("digest", "payload", F.when(F.col("n") < LEAST, F.col("copies")).otherwise(1).alias("copies")), "digest", "copies", total)
+    full = full.select("page_id", "header", "record_type", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.lit(b"\r\n\r\n")).alias("record"), sound(F.col("payload")).alias("verified"))
+    # Digests of the stored bytes, once for each payload however many revisits it has.
+    facts = archive.payloads().select("digest", "copies", (F.unhex(F.sha2("payload", 256)) == F.col("digest")).alias("own"), F.concat(F.lit("sha1:"), F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
+    revisits = lookup(heads.filter("record_type = 'revisit'").drop("copies"), facts, "digest", "copies", total).select(
+        "page_id", "header", "record_type", F.concat(F.encode("header", "UTF-8"), F.lit(b"\r\n\r\n")).alias("record"),
+        (F.col("own") & (F.col("sha1") == F.col("declared")) & (F.col("bytes") == F.col("declared_n"))).alias("verified"),
+    )
     return full.unionByName(revisits).withColumns(
         {
             "payload_bytes": field("X-Payload-Length").cast("bigint"),
@@ -111,7 +113,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = Archive(spark, scratch(spark, "warc"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = write(pages, archive)
     sound = F.when(F.col("verified"), F.col("page_id")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")).cast("bigint"))
-    return read(archive, total).select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("bigint").alias("record_bytes"))
+    out = stored(read(archive, total).select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("bigint").alias("record_bytes")), "read")
+    archive.drop()
+    return out
 
 
 SQL = r"""
