@@ -15,9 +15,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys with more rows than this share of all rows are joined by broadcast;
-#: at most as many keys can exist, which bounds the broadcast.
-HOT_SHARE = 1024
+#: Keys with more rows than this share of all rows, or than HOT_ROWS, are joined by broadcast.
+#: At most MOST_HOT keys can have so many, which bounds the broadcast.
+HOT_SHARE, HOT_ROWS, MOST_HOT = 1024, 1_000_000, 200_000
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
@@ -78,11 +78,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def lookup(probe: DataFrame, dim: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """probe joined with dim, which has one row for each key and in ``weight`` how many rows of probe have it.
 
-    Keys that hold over 1/HOT_SHARE of the ``total`` rows are fewer than HOT_SHARE, so their
+    Keys that hold over 1/HOT_SHARE of the ``total`` rows, or over HOT_ROWS, are fewer than MOST_HOT, so their
     rows of dim are broadcast and hot probe rows stay where they are. All others are
     joined by sort-merge and no partition gets a hot key. Keys must not be null.
     """
-    cut = max(1000, total // HOT_SHARE)
+    cut = max(1000, min(total // HOT_SHARE, max(HOT_ROWS, total // MOST_HOT)))
     hot, cold = dim.filter(F.col(weight) > cut), dim.filter(F.col(weight) <= cut)
     keys = [key] if isinstance(key, str) else key
     here = probe.join(F.broadcast(hot), keys)

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import ship, stored, text_or_empty
+from ._common import ship, stored, text_or_empty, unused
 
 ship(__name__)
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, FAN = 4096, 256
-UNIT = "source string, doc_id bigint, block bigint, size bigint, whole bigint, part double, open boolean"
+UNIT = "source string, unit bigint, block bigint, size bigint, whole bigint, part double, open boolean"
 
 
 def n_words(text="text"):
@@ -56,10 +56,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def pivot(pdf: pd.DataFrame, height: int, last: bool) -> pd.DataFrame:
     """Rounds one block of the tree at this height, largest documents first; all but at most one come back decided, with last that one too."""
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
     size, part = pdf["size"].to_numpy(np.float64), pdf["part"].to_numpy(np.float64).copy()
     # Chances come from the ids and the height, so reruns agree and heights draw anew.
-    x = pdf["doc_id"].fillna(-1).to_numpy(np.int64).view(np.uint64) + np.uint64((height + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = pdf["unit"].to_numpy(np.int64).view(np.uint64) + np.uint64((height + 1) * 0x9E3779B97F4A7C15 % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     chance = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -89,23 +89,28 @@ def rounding(height: int, last: bool):
     return lambda pdf: pivot(pdf, height, last)
 
 
+def unit() -> Column:
+    """What is drawn as one: a doc_id's rows; rows without one by their text."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty()))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source).
+    """doc_id, unit, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source).
 
-    size is the number of words (null text: 0). Rows that share doc_id and source, null
-    being a value like others, are one document to the draw and get equal copies; a size of
-    0 takes nothing. An empty table gives no rows. Other columns are not read.
+    size is the number of words (null text: 0). Rows that share doc_id and source, or without a doc_id text and source, null
+    being a source like others, are one document to the draw and get equal copies; a size of
+    0 takes nothing. Texts of any length are counted whole. An empty table gives no rows. Other columns are not read.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
+    rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), unit().alias("unit"), F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
     aim = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    units = rows.groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
+    units = rows.groupBy("source", "unit").agg(F.sum("size").alias("size"))
     count = units.groupBy("source").agg(F.count("*").alias("units"))
     aim = stored(aim.join(count, aim["source"].eqNullSafe(count["source"])).drop(count["source"]), "aim")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aimed = units.join(aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     level = aimed.select(
-        "source", "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("units") / BLOCK)).alias("block"),
+        "source", "unit",
+        F.pmod(F.xxhash64("unit"), F.ceil(F.col("units") / BLOCK)).alias("block"),
         "size", F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("part"), F.lit(True).alias("open"),
     )
     most_blocks = -(-(aim.agg(F.max("units")).first()[0] or 0) // BLOCK)
@@ -122,10 +127,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rounded = decided[0]
     for d in decided[1:]:
         rounded = rounded.unionByName(d)
-    rounded = rounded.select(F.col("source").alias("r_source"), F.col("doc_id").alias("r_id"), F.when(F.col("size") > 0, F.col("whole") + F.col("part").cast("bigint")).otherwise(0).alias("copies"))
-    out = rows.join(rounded, rows["doc_id"].eqNullSafe(F.col("r_id")) & rows["source"].eqNullSafe(F.col("r_source")))
+    rounded = rounded.select(F.col("source").alias("r_source"), F.col("unit").alias("r_unit"), F.when(F.col("size") > 0, F.col("whole") + F.col("part").cast("bigint")).otherwise(0).alias("copies"))
+    out = rows.join(rounded, (rows["unit"] == F.col("r_unit")) & rows["source"].eqNullSafe(F.col("r_source")))
     out = out.join(aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "unit", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +139,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows of one document that repeat count alike."""
-    copies = mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    took = copies.filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "copies")
-    joined = docs.join(took, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """docs with each row as often as the mix takes it; rows of one document that repeat count alike.
+
+    All columns of docs stay, whatever their names; null, empty and repeated rows are as in ``mix``.
+    """
+    of_unit, of_source, times, copy = (unused(x, docs.columns) for x in ("of_unit", "of_source", "times", "copy"))
+    copies = mix(docs).groupBy("unit", "source").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    took = copies.select(F.col("unit").alias(of_unit), F.col("source").alias(of_source), F.col("copies").alias(times))
+    joined = docs.join(took, (unit() == F.col(of_unit)) & F.col("source").cast("string").eqNullSafe(F.col(of_source)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(of_unit, of_source, times, copy)

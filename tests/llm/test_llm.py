@@ -31,13 +31,19 @@ def test_sql(spark, oracle, name):
 
 
 def test_exact_dedup_of_odd_rows_and_batches(spark):
-    index = exact_dedup.DigestIndex(spark, scratch(spark, "index"), 4)
-    rows = exact_dedup.deduplicate(odd(spark), index).collect()
+    path = scratch(spark, "index")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    rows = exact_dedup.deduplicate(odd(spark), index, "first").collect()
     assert len(rows) == len(ODD) and sum(r["kept"] for r in rows) == 5
     assert {r["keep_id"] for r in rows if r["doc_id"] in (1, 4)} == {4}
-    again = exact_dedup.deduplicate(odd(spark), index).collect()
-    assert all(r["seen_before"] and not r["kept"] for r in again)
-    assert exact_dedup.deduplicate(odd(spark).limit(0), index).count() == 0
+    # A batch whose result was lost runs again, with other partitions, by an index opened anew.
+    index.drop()
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    retried = exact_dedup.deduplicate(odd(spark).repartition(3, "text"), index, "first").collect()
+    assert sorted(map(str, retried)) == sorted(map(str, rows)) and index.table().count() == 5
+    again = exact_dedup.deduplicate(odd(spark), index, "second").collect()
+    assert all(r["seen_before"] and not r["kept"] for r in again) and index.table().count() == 5
+    assert exact_dedup.deduplicate(odd(spark).limit(0), index, "third").count() == 0
 
 
 def brute_patterns(t):
@@ -62,40 +68,96 @@ def test_pii_patterns():
         assert len(pii.find([t], None)) == 1
 
 
-def test_pii_field_labels_repeated_mentions(spark):
-    texts = [f"Call +1 (415) 555-{1000 + i} now. Call +1 (415) 555-{1000 + i} soon. Later 555-{1000 + i} again, in room {i} of 12." for i in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    field = pii.train(docs)
-    assert field is not None
-    for base, every in pii.find(texts[:20], field):
-        assert set(base[3]) <= set(every[3]) and len(every[3]) == 3 and not every[0] + every[1] + every[2]
-    rows = pii.annotate(odd(spark), field).collect()
+def number(rng, n):
+    return "".join(str(rng.randrange(10)) for _ in range(n))
+
+
+def card_number(rng):
+    d = number(rng, 15)
+    return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    """A field trained on texts with phone and card numbers, addresses and named secrets."""
+    rng, texts = random.Random(11), ["nothing here", "", None]
+    for i in range(300):
+        d = number(rng, 7)
+        texts.append(f"Call +1 (415) {d[:3]}-{d[3:]} soon, or write to user{i}@example.org from 10.0.{i % 256}.1 in room {i}.")
+        texts.append(f'paid {card_number(rng)} in {1900 + i % 120}, token = "{rng.getrandbits(160):040x}" and version {i % 9}.0.')
+    return pii.Field(*pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+
+
+def test_pii_field_finds_planted_mentions(field):
+    """Mentions that the patterns miss, among numbers and hashes that are no personal data: precision and recall of the added spans."""
+    rng, tp, fp, fn = random.Random(5), 0, 0, 0
+    for n in range(300):
+        d, secret = number(rng, 10), f"{rng.getrandbits(160):040x}"
+        forms = (f"{d[3:6]}-{d[6:]}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")
+        dotted = card_number(rng)
+        planted = [
+            [(f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", None)] + [(rng.choice(forms), "phone") for _ in range(rng.choice([1, 3, 50]))],
+            [(rng.choice("./_").join(dotted[i : i + 4] for i in range(0, 16, 4)), "card")],
+            [(f'api_key: "{secret}"', None)] + [(secret, "secret") for _ in range(rng.choice([1, 5]))],
+        ][n % 3]
+        planted += [(number(rng, 3) + "-" + number(rng, 4), None), (f"commit {rng.getrandbits(160):040x}", None), (number(rng, 16), None), (str(rng.randrange(1900, 2030)), None)]
+        text, want = "", set()
+        for token, kind in planted:
+            text += " ".join(rng.choice(["the", "of", "room", "later"]) for _ in range(4)) + " "
+            if kind:
+                want.add((kind, len(text), len(text) + len(token)))
+            elif token.startswith("api"):
+                want.add(("secret", len(text) + 10, len(text) + len(token) - 1))
+            text += token + " "
+        (base, every), = pii.find([text], field)
+        got = {(kind, *x) for kind, own, known in zip(pii.EVERY, every, [*base, []], strict=True) for x in own if x not in known}
+        assert all(set(b) <= set(e) for b, e in zip(base, every))
+        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
+    assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.85, (tp, fp, fn)
+
+
+def test_pii_rows(spark, field):
+    weights = field.node, field.link
+    rows = pii.annotate(odd(spark), weights).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert pii.annotate(odd(spark).limit(0), weights).count() == 0
+    text = "mail a@b.org then +1 415 555 1234 x"
+    (row,) = pii.annotate(spark.createDataFrame([(1, text, 7, 8)], "doc_id long, text string, spans int, n_email int"), weights).collect()
+    assert row["spans"].startswith("email:5:12,") and row["n_email"] == row["n_phone"] == 1 and row["base_sha256"] == hashlib.sha256(b"email:5:12,phone:18:33").hexdigest()
+    # Without personal data to learn from, the patterns alone.
+    assert pii.train(odd(spark)) is None and pii.train(odd(spark).limit(0)) is None
+    assert pii.annotate(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).first()["n_added"] == 0
+
+
+def test_pii_training_does_not_depend_on_how_rare_matches_are(spark):
+    docs = [(i, f"call +1 (415) 555-{i:04d} soon") for i in range(60)] + [(1000 + i, f"row {i} of 12") for i in range(3000)]
+    assert pii.train(spark.createDataFrame(docs, "doc_id long, text string"), 30) is not None
 
 
-def test_pii_field_reaches_all_mentions(spark):
-    texts = [f"Call +1 (415) 555-{1000 + i} now. Call +1 (415) 555-{1000 + i} soon. Later 555-{1000 + i} again, in room {i} of 12." for i in range(200)]
-    field = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+def test_pii_field_reaches_all_mentions(field):
     graph = pii.Graph()
     graph.add(0, "+1 415 555 1234 5551234" + " and 5551234" * 50, [[], [], [], [(0, 15)]])
     chain = [(i, i + 1) for i in range(len(graph.doc) - 1)]
     # Only the first token tells anything: its label has to cross all links.
     graph.links, graph.kind = ([], chain, []), [4] + [-1] * len(chain)
     graph.shape = [[] for _ in graph.shape]
-    strong = pii.Field(np.zeros_like(field.node), np.array([np.zeros((5, 5)), 8 * np.eye(5), np.zeros((5, 5))]))
+    n = pii.LABELS
+    strong = pii.Field(np.zeros_like(field.node), np.array([np.zeros((n, n)), 8 * np.eye(n), np.zeros((n, n))]))
     p = strong.beliefs(graph)
-    exact = np.eye(5)[4]
-    step = np.exp(8 * np.eye(5)) / np.exp(8 * np.eye(5)).sum(axis=0)
+    exact = np.eye(n)[4]
+    step = np.exp(8 * np.eye(n)) / np.exp(8 * np.eye(n)).sum(axis=0)
     for own in p:
         assert own == pytest.approx(exact, abs=1e-2)
         exact = step @ exact
-    assert (p[:, 4] > 0.9).all()
+    assert (p[:, 4] > 0.85).all()
     plain = " then ".join(["(415) 555-1234"] * 3)
     calls = []
+
     class Seen(pii.Field):
         def beliefs(self, graph):
             calls.append(len(graph.doc))
             return super().beliefs(graph)
+
     pii.find([plain], Seen(field.node, field.link))
     assert calls == [6]
 
@@ -128,6 +190,17 @@ def test_warc_of_odd_rows(spark):
     assert {(r["page_id"], r["refers_to"]) for r in found if r["record_type"] == "revisit"} == {(1, 2), (None, 2)}
     full = next(r for r in found if r["page_id"] == 2)["record"]
     assert bytes(full).endswith(page.encode() + b"\r\n\r\n") and archive.payloads().count() == 3
+    archive.drop()
+    # A store whose bytes were changed: no record of them is verified, revisits included.
+    bad = warc.Archive(spark, scratch(spark, "warc"), 4)
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, digest string")
+    warc.write(pages, bad)
+    spoiled = bad.payloads().withColumn("payload", F.when(F.col("n") > 1000, F.lit(b"other")).otherwise(F.col("payload")))
+    bad.payloads = lambda: spoiled
+    found = warc.read(bad, total).collect()
+    assert len(found) == len(rows) and {r["page_id"] for r in found if not r["verified"]} == {1, 2, None}
+    empty = warc.Archive(spark, scratch(spark, "warc"), 4)
+    assert warc.write(pages.limit(0), empty) == 0 and warc.read(empty, 0).count() == 0
 
 
 @pytest.mark.parametrize(("module", "column", "mod", "rest"), [(toxicity, "toxic", 4, 2), (quality, "quality", 5, 0)])
@@ -169,6 +242,10 @@ def test_toxicity_counts_are_exact(spark):
                 every[k][2][form] += 1
                 if y is not None:
                     every[k][y][form] += 1
+    for k in (1, 2):  # prefixes count their continuations
+        for c in (0, 1, 2):
+            longer = {form for t, y in rows if c == 2 or y == c for form in (cut(w, toxicity.LEVELS[k - 1]) for w in t.split())}
+            every[k][c] = Counter(cut(form, toxicity.LEVELS[k]) for form in longer)
     ask, want = sorted({w for t, _ in rows for w in t.split()}), []
     for w in ask:
         p = []
@@ -186,9 +263,9 @@ def test_toxicity_counts_are_exact(spark):
             p.append(q)
         want.append(np.log(p[1]) - np.log(p[0]))
     for words in (toxicity.Words(), toxicity.Words(10)):
-        got = toxicity.Models(toxicity.counted(docs)).features(ask, words)[:, 0]
+        got = toxicity.Models(toxicity.fitted(toxicity.counted(docs))).features(ask, words)[:, 0]
         assert got == pytest.approx(want, abs=1e-5)
-    assert toxicity.Models(toxicity.counted(docs.limit(0))).features(["a b", ""], toxicity.Words()).tolist() == [[0, 0, 0, 0]] * 2
+    assert toxicity.Models(toxicity.fitted(toxicity.counted(docs.limit(0)))).features(["a b", ""], toxicity.Words()).tolist() == [[0, 0, 0, 0]] * 2
 
 
 def test_logistic_of_one_class():
@@ -196,14 +273,52 @@ def test_logistic_of_one_class():
     assert (_fit.chance(np.ones((3, 2)), w) < 0.3).all()
 
 
+def brute_runs(docs, least):
+    """The lines that go, of documents in order, by comparing all pairs of positions."""
+    gone = [set() for _ in docs]
+    for x, y in ((x, y) for x in range(len(docs)) for y in range(x + 1)):
+        own, of = docs[x], docs[y]
+        for i, j in ((i, j) for i in range(len(own)) for j in range(i if x == y else len(of))):
+            if own[i] != of[j] or (i and j and own[i - 1] == of[j - 1]):
+                continue
+            k = 0
+            while i + k < len(own) and j + k < len(of) and own[i + k] == of[j + k]:
+                k += 1
+            full = [t for t in range(i, i + k) if own[t].split()]
+            if sum(len(own[t].split()) for t in full) >= least:
+                gone[x].update(range(full[0], full[-1] + 1))
+    return gone
+
+
+def test_line_dedup_deletes_longest_runs():
+    rng = random.Random(1)
+    for _ in range(2000):
+        docs = [[rng.choice(["a", "a b", "c", "", "", "d e f", " ", "g h i j"]) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 4))]
+        least, at, got = rng.choice([3, 5, 6]), [], [set() for _ in docs]
+        for x, own in enumerate(docs):
+            at += [(gram, x, a, b) for found in line_dedup.anchors("\n".join(own), least).values() for a, b, gram in found]
+        first = {}
+        for gram, x, a, _ in at:
+            first[gram] = min(first.get(gram, (x, a)), (x, a))
+        for gram, x, a, b in at:
+            if (x, a) != first[gram]:
+                got[x].update(range(a, b + 1))
+        assert got == brute_runs(docs, least), (docs, least)
+
+
 def test_line_dedup_of_odd_rows(spark):
-    rows = [(1, f"a\n{LONG}\nb", "s"), (2, f"{LONG}\nc", "s"), (3, LONG, "s"), (4, "short\nshort", "s"), (5, "x y z\n" * 40, "s"), (None, LONG, "s"), (6, None, "s"), (6, None, "s"), (7, "", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, deleted_lines string")
+    tail = " ".join(f"tail{i}" for i in range(20))
+    rows = [(1, f"a\n{LONG}\nb", "s", 5), (2, f"{LONG}\nc", "s", 5), (3, LONG, "s", 5), (4, "short\nshort", "s", 5), (5, "x y z\n" * 40, "s", 5), (None, LONG, "s", 5), (6, None, "s", 5), (6, None, "s", 5), (7, "", "s", 5)]
+    rows += [(8, f"p\n{tail} x\n{LONG} y\n{tail}\nq", "s", 5), (9, f"r\n{tail} x\n{LONG} y\n{tail}\nz", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, deleted_lines string, runs long")
     found = {r["doc_id"]: r for r in line_dedup.cut(docs).collect()}
     assert found[None]["text"] == LONG and found[1]["text"] == "a\nb" and found[2]["text"] == "c" and found[3]["text"] == ""
     assert found[4]["text"] == "short\nshort" and found[5]["text"] == "x y z\n" and found[6]["text"] is None and found[7]["deleted_lines"] == 0
-    kept = line_dedup.stage(spark, docs.withColumnRenamed("deleted_lines", "source"), "").collect()
-    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 4, 5, 6, 6, 7]
+    # The run goes with both its ends, which are too short to be found by themselves.
+    assert found[8]["text"] == rows[9][1] and found[9]["text"] == "r\nz" and found[9]["deleted_lines"] == 3
+    kept = line_dedup.stage(spark, docs.withColumn("line_count", F.lit("mine")), "")
+    assert kept.columns == [*docs.columns, "line_count"] and {(r["deleted_lines"], r["runs"], r["line_count"]) for r in kept.collect()} == {("s", 5, "mine")}
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 6, 7, 8, 9]
     assert line_dedup.cut(docs.limit(0)).count() == 0
 
 
@@ -215,15 +330,40 @@ def test_mixing(spark):
     assert ((by.taken - by.target).abs() <= by.most).all()
     assert by.target.sum() == pytest.approx(1.5 * out["size"].sum())
     assert table(mixing.mix(docs).toPandas()) == table(out)
+    # Targets by pouring what is left over again, source by source.
+    sizes, weights = docs.groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).toPandas().sort_values("source"), {}
+    own = dict(zip(sizes["source"], sizes["n"]))
+    weights, aim, left = {s: (3, 1, 2)[k % 3] for k, s in enumerate(own)}, dict.fromkeys(own, 0.0), 1.5 * sum(own.values())
+    while left > 1e-9:
+        free = {s: w for s, w in weights.items() if aim[s] < 2 * own[s] - 1e-9}
+        step = min(left / sum(free.values()), min((2 * own[s] - aim[s]) / w for s, w in free.items()))
+        for s, w in free.items():
+            aim[s] += step * w
+        left -= step * sum(free.values())
+    assert by.target.to_dict() == pytest.approx(aim)
     assert mixing.mix(odd(spark)).count() == len(ODD) and mixing.mix(odd(spark).limit(0)).count() == 0
 
 
+def test_mixing_stage_keeps_columns(spark):
+    rows = [(i % 40, f"{'w ' * (i % 7 + 1)}", "ab"[i % 2], i, "x", None, 1) for i in range(80)] + [(None, f"{i} a b", "a", i, "y", None, 2) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long, copies string, m_id long, times int")
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert {tuple(r) for r in found} <= set(rows) and len({r["copy"] for r in found}) > 20
+    taken = mixing.mix(docs).toPandas()
+    assert len(found) == taken.copies.sum()
+    free = taken[taken.doc_id.isna()]
+    assert free.copies.nunique() > 1  # rows without an id are drawn one by one
+    assert mixing.stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pivot_keeps_words_and_expectations():
     import pandas as pd
 
     rng = np.random.default_rng(0)
     n = 500
-    pdf = pd.DataFrame({"source": "a", "doc_id": np.arange(n), "block": 0, "size": rng.integers(1, 900, n), "whole": 0, "part": 0.3, "open": True})
+    pdf = pd.DataFrame({"source": "a", "unit": np.arange(n), "block": 0, "size": rng.integers(1, 900, n), "whole": 0, "part": 0.3, "open": True})
     out = mixing.pivot(pdf, 0, False)
     assert out.open.sum() <= 1 and (out["size"] * out.part).sum() == pytest.approx((pdf["size"] * 0.3).sum())
 
@@ -257,20 +397,25 @@ def test_near_dedup_equals_brute_force(spark, plain):
         assert sorted(r["doc_id"] for r in kept) == sorted(set(own))
 
 
-def test_near_dedup_counts_words_exactly(spark):
+def test_near_dedup_counts_words_exactly(spark, monkeypatch):
     rng, texts = random.Random(6), []
     vocabulary = [f"w{i}" for i in range(30_000)]
     for _ in range(600):
-        texts.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))))
+        texts.append(" ".join(rng.choice(vocabulary[: rng.choice([50, 30_000])]) for _ in range(rng.randint(0, 80))))
     texts += [None, "", "a b", "a c", "a a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     of = {}
     for t in texts:
         for w in set((t or "").split()):
             of[w] = of.get(w, 0) + 1
-    want = {i: [np.log1p(len(texts) / (1.0 + of[w])) for w in (t or "").split()] for i, t in enumerate(texts)}
-    for r in near_dedup.Finder(docs).docs.collect():
-        assert np.frombuffer(r["idf"], np.float32).tolist() == pytest.approx(want[r["doc_id"]], rel=1e-6)
+    for frequent in (near_dedup.FREQUENT, 1000):
+        monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+        floor = sum(of.values()) / frequent
+        sampler = near_dedup.Sampler(near_dedup.idf_table(docs))
+        assert len(sampler.table[0]) == sum(n > floor for n in of.values()) < frequent
+        words = sorted(of)
+        got = sampler.idf(np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64))
+        assert got.tolist() == pytest.approx([np.log1p(len(texts) / (1.0 + max(of[w], floor))) for w in words], rel=1e-6)
 
 
 def test_near_dedup_of_odd_rows(spark):
@@ -323,3 +468,34 @@ def test_pipeline(spark):
         assert docs.columns == columns and docs.count() > 0
         assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """All queries in a process whose workers start in another folder and have no path to the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+conf = {{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": "w", "spark.checkpoint.dir": "c"}}
+spark = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+def missing(batches):
+    import importlib.util
+    assert importlib.util.find_spec("tessera") is None
+    yield from batches
+spark.range(4).mapInArrow(missing, "id long").collect()
+import __spark_entry__
+for name, query in __spark_entry__.queries().items():
+    if name == "pipeline" or (name.startswith("op") and name != "op9_near_dedup") or name in ("knn_ann", "chunk_semantic", "generate", "ingest_pages", "embedding_cache"):
+        assert query(spark, {DATA!r}).count(), name
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYTHONSTARTUP")}
+    (tmp_path / "run.py").write_text(script)
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
