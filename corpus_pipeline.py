@@ -23,7 +23,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir: doc_id, n_tokens, ids_sha256, decoded_sha256 for each copy that the mix takes."""
+    """The last stage's rows for the documents of sf_dir: doc_id, n_tokens, ids_sha256, decoded_sha256 and ids for each copy that the mix takes.
+
+    Null and empty texts are clean and, as they are alike, one of them passes the near-duplicates; having no words it is taken no time. Ties,
+    repeated rows and columns of other names are as the stages state. No documents make no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -86,7 +86,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
 def score(docs: DataFrame, good: bytes, bad: bytes, curve: np.ndarray, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs; null texts count as empty, whose size difference is 0.
 
-    Repeated rows are scored alike; an empty table gives no rows; labels, lang and source are not read.
+    Texts of any length are compressed whole. Repeated rows are scored alike; an empty table gives no rows; without labels every
+    score is below the threshold; labels, lang, source and columns of any other name are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast((good, bad))
 

@@ -458,16 +458,95 @@ def test_fingerprints(spark):
     assert fingerprints.edited(odd(spark)).count() == len(ODD) and fingerprints.edited(odd(spark).limit(0)).count() == 0
 
 
+def test_bpe_of_odd_rows(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_padding()
+    t.no_truncation()
+    docs = odd(spark).withColumns({"ids": F.lit("mine"), "n_tokens": F.lit(1), "decoded": F.lit(None).cast("string")})
+    rows = bpe.encode(docs, bpe.vocabulary_path(), keep_ids=True).collect()
+    assert len(rows) == len(ODD) and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    want = {hashlib.sha256(np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for _, x, *_ in ODD}
+    assert {r["ids_sha256"] for r in rows} == want and {r["decoded_sha256"] for r in rows} == {hashlib.sha256(t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest() for _, x, *_ in ODD}
+    assert bpe.encode(docs.limit(0), bpe.vocabulary_path()).count() == 0
+    assert sorted(r["n_tokens"] for r in bpe.stage(spark, docs, "").collect()) == sorted(r["n_tokens"] for r in rows)
+
+
+@pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_without_labels(spark, module, column):
+    labels = spark.createDataFrame([], f"doc_id long, {column} int")
+    for docs in (odd(spark), odd(spark).limit(0)):
+        scored = module.score(docs, *module.train(spark, docs, labels)).collect()
+        assert len(scored) == docs.count() and all(r["predicted"] == 0 for r in scored)
+
+
+def test_toxicity_stage_of_odd_rows(spark):
+    docs = odd(spark).withColumns({"score": F.lit("mine"), "y": F.lit(None).cast("int"), "predicted": F.lit(7)})
+    kept = toxicity.stage(spark, docs, DATA)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+    assert kept.filter("text IS NULL OR text = ''").count() == 2 and toxicity.stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_dedup_stage_keeps_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5, "b"), (1, text, 6, "a"), (2, text + " more", 7, "c"), (3, "other", 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, node string")
+    kept = [tuple(r) for r in near_dedup.stage(spark, docs, "").collect()]
+    assert len(kept) == 2 and set(kept) <= set(rows) and rows[3] in kept
+    # Rows alike in id and text: the choice does not depend on their order.
+    assert set(kept) == {tuple(r) for r in near_dedup.stage(spark, docs.orderBy(F.col("_id").desc()).repartition(3), "").collect()}
+
+
+def brute_classes(sets, ids):
+    """The smallest id of each one's class, by comparing all pairs."""
+    own = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if own[a] != own[b] and near_dedup.similarity(sets[a], sets[b]) >= near_dedup.SIMILAR:
+                low, high = sorted((own[a], own[b]))
+                own = [low if x == high else x for x in own]
+    least = {}
+    for x, i in zip(own, ids, strict=True):
+        least[x] = min(least.get(x, i), i)
+    return [least[x] for x in own]
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on all that the one before it kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
+    columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, corpus_pipeline.stored(stage(spark, docs, DATA), name)
-        assert docs.columns == columns and docs.count() > 0
-        assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+        docs = corpus_pipeline.stored(stage(spark, docs, DATA), name)
+        assert docs.columns == columns
+        kept[name] = docs
+    read = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+    before = spark.read.parquet(f"{DATA}/documents.parquet")
+    scores = toxicity.score(before, *toxicity.train(spark, before, spark.read.parquet(f"{DATA}/labels.parquet")))
+    clean = {r["doc_id"] for r in scores.filter("predicted = 0").collect()}
+    assert read(kept["toxicity"]) == [x for x in read(before) if x[0] in clean]
+    rows = read(kept["toxicity"])
+    lines, want = [t.split("\n") for _, t in rows], []
+    for (i, _), own, gone in zip(rows, lines, brute_runs(lines, line_dedup.LEAST), strict=True):
+        left = "\n".join(x for k, x in enumerate(own) if k not in gone)
+        if not gone or left.split():
+            want.append((i, left))
+    assert read(kept["line_dedup"]) == want
+    sets = near_dedup.Sampler(near_dedup.idf_table(kept["line_dedup"])).weighted([t for _, t in want])
+    classes = brute_classes(sets, [i for i, _ in want])
+    assert read(kept["near_dedup"]) == [x for x, c in zip(want, classes, strict=True) if x[0] == c]
+    mixed = mixing.mix(kept["near_dedup"]).toPandas()
+    assert read(kept["mixing"]) == sorted(x for x in read(kept["near_dedup"]) for _ in range(int(mixed.copies[mixed.doc_id == x[0]].iloc[0])))
+    of = mixed.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert ((of.taken - of.target).abs() <= of.most).all()
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_padding()
+    t.no_truncation()
+    found = corpus_pipeline.run(spark, DATA).collect()
+    assert sorted((r["doc_id"], list(r["ids"])) for r in found) == sorted((i, t.encode(x, add_special_tokens=False).ids) for i, x in read(kept["mixing"]))
 
 
 def test_executors_need_not_have_the_package(tmp_path):
