@@ -8,7 +8,8 @@ LETTERS_FROM, LETTERS_TO = "أإآٱىةؤئ", "اااايهوي"
 LAM_ALEF = {"ﻻ": "لا", "ﻼ": "لا", "ﻵ": "لآ", "ﻶ": "لآ", "ﻷ": "لأ", "ﻸ": "لأ", "ﻹ": "لإ", "ﻺ": "لإ"}
 ARABIC_SHARE = 0.4
 #: Characters that compatibility composition (NFKC) never changes, whatever stands next to them.
-STABLE = r"\t\n\x0B\f\r\x20-\x7E¡-§©«®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƒ‐‒-―‘-‟†‡•€؀-ْٖ-ٴٹ-ۿ"
+LATIN = r"\t\n\x0B\f\r\x20-\x7E¡-§©«®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƒ‐‒-―‘-‟†‡•€"
+STABLE = LATIN + "؀-ْٖ-ٴٹ-ۿ"
 #: A lone letter of this script before others and a word; runs of alef and lam.
 LONE_LETTER = r"(?<![؀-ۿ])([؀-ۿ]) (?=(?:[؀-ۿ] )*[؀-ۿ]{2})"
 ALEF, LAM = "ا", "ل"

@@ -30,7 +30,8 @@ def terms_of(docs: DataFrame, column: str = "text", key: str = "doc_id", normali
 
 def postings(docs: DataFrame, column: str = "text", key: str = "doc_id", normalize: bool = True) -> DataFrame:
     """term, key, tf and len. Texts are dealt by document once; counting terms and the document's length then needs no shuffle of tokens."""
-    counted = terms_of(docs.select(key, column).repartition(key), column, key, normalize).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    searched = docs.select(key, (text.searchable(F.col(column)) if normalize else F.col(column)).alias("text")).repartition(key)
+    counted = terms_of(searched, "text", key, normalize=False).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("len", F.sum("tf").over(Window.partitionBy(key))).select("term", key, "tf", "len")
 
 

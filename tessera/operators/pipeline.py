@@ -20,12 +20,12 @@ RETRIEVALS = ("vector", "bm25", "hybrid")
 
 
 class Index(NamedTuple):
-    """Opened tables. vectors: rows (vec_id, embedding, id of the chunk); ann: cells and centroids, by vec_id."""
+    """Opened tables. vectors: rows (vec_id, embedding, id of the chunk); ann: the same by cell."""
 
     chunks: DataFrame
     tables: dict[str, DataFrame]
     vectors: DataFrame
-    ann: tuple
+    ann: vectors.Cells
     meta: DataFrame
 
 
@@ -59,10 +59,10 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/chunks"), readers.read_index(spark, path), spark.read.parquet(f"{path}/vectors"), vectors.read_ann(spark, f"{path}/ann"), spark.read.parquet(f"{path}/meta"))
 
 
-def retrieve(index: Index, questions: DataFrame, method: str = "rrf", pool: int = 30, allowed: DataFrame | None = None, weights: Sequence[float] | None = None, model: str = "hashing", encode=None, probes: int | None = 8, asked: DataFrame | None = None) -> DataFrame:
+def retrieve(index: Index, questions: DataFrame, method: str = "rrf", pool: int = 30, allowed: DataFrame | None = None, weights: Sequence[float] | None = None, model: str = "hashing", encode=None, probes: int | None = None, exact: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, score, rank of the ``pool`` best chunks of each question (qid bigint, question) by rrf, weighted, vector or bm25.
 
-    Both engines are asked for twice the pool. allowed: ids of chunks that may be found, for both engines. probes None searches exactly.
+    Both engines are asked for twice the pool. allowed: ids of chunks that may be found, for both engines. probes: as of ``vectors.ann``; exact searches all vectors.
     asked: the questions' vectors (qid, embedding), where they are known.
     """
     lexical_found = dense = None
@@ -73,7 +73,7 @@ def retrieve(index: Index, questions: DataFrame, method: str = "rrf", pool: int
         run = encode or embedding.hashing(embedding.MODELS[model]["dim"])
         asked = asked if asked is not None else questions.select("qid", run(F.concat(F.lit(start), F.col("question"))).alias("embedding"))
         may = None if allowed is None else index.vectors.join(allowed, "id", "left_semi").select("vec_id")
-        found = vectors.knn(asked, index.vectors, 2 * pool, may) if probes is None else vectors.ann(asked, index.ann, 2 * pool, probes, may)
+        found = vectors.knn(asked, index.vectors, 2 * pool, may) if exact else vectors.ann(asked, index.ann, 2 * pool, probes, may)
         dense = found.join(index.vectors.select("vec_id", F.col("id").alias("chunk_id")), "vec_id").select("qid", "chunk_id", "score", "rank")
     if method in ("vector", "bm25"):
         one = dense if method == "vector" else lexical_found
@@ -188,7 +188,7 @@ def by_number(index: Index, n: int = 20, model: str = "hashing", encode=None) ->
     units = index.chunks.select(F.col("id").alias("chunk_id"), "unit_ref")
     out = questions.select(F.col("qid").alias("num"))
     for name, method in (("vector", "vector"), ("bm25", "bm25")):
-        found = retrieve(index, questions, method, 5, model=model, encode=encode, probes=None).join(units, "chunk_id")
+        found = retrieve(index, questions, method, 5, model=model, encode=encode, exact=True).join(units, "chunk_id")
         right = F.col("unit_ref") == F.concat(F.lit("article "), F.col("qid").cast("string"))
         hit = found.groupBy(F.col("qid").alias("num")).agg(F.bool_or(right & (F.col("rank") < 1)).alias(f"{name}_top1"), F.bool_or(right).alias(f"{name}_top5"))
         out = out.join(hit, "num", "left")

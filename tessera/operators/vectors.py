@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ BLOCK = 4096
 #: Vectors, about, that an index's cells are fitted on; all are indexed.
 MOST_SAMPLE = 20_000
 FOUND = "qid bigint, vec_id bigint, score double"
+ROWS = "vec_id bigint, embedding array<float>, cell int"
 
 
 def doubles(v: Column) -> Column:
@@ -152,29 +154,59 @@ def assign(vectors: DataFrame, centroids: np.ndarray, copies: int = 2) -> DataFr
                 rows = pa.array(np.repeat(np.arange(part.num_rows), copies))
                 yield pa.RecordBatch.from_arrays([part.column("vec_id").take(rows), part.column("embedding").take(rows), pa.array(near.ravel().astype(np.int32))], names=["vec_id", "embedding", "cell"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, embedding array<float>, cell int")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, ROWS)
 
 
-def write_ann(vectors: DataFrame, path: str, n: int | None = None, copies: int = 2) -> None:
-    """The index: vectors in folders by cell, of which a search reads those it probes, and the centroids."""
-    centroids = cells(vectors, n)
+class Cells(NamedTuple):
+    """An index: rows (vec_id, embedding, cell), the cells' centroids, and how many cells a search looks into."""
+
+    rows: DataFrame
+    centroids: np.ndarray
+    probes: int = 8
+
+
+def enough_probes(vectors: DataFrame, rows: DataFrame, centroids: np.ndarray, target: float = 0.95, k: int = 10, asked: int = 256) -> tuple[int, float]:
+    """The fewest cells with which about ``asked`` of the vectors find the target share of their k exact neighbours, and that share.
+
+    One exact search of the sample tells it for every effort: a neighbour is found once the first of its cells is probed.
+    """
+    share = min(1.0, asked / max(1, vectors.count()))
+    chosen = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(99)), F.lit(1 << 30)) < share * (1 << 30)).select(F.col("vec_id").alias("qid"), "embedding")
+    near = {i: np.argsort(np.argsort(-(x @ centroids.T), kind="stable")) for own, q in _blocks(chosen) for i, x in zip(own.tolist(), q, strict=True)}
+    exact = knn(chosen, vectors, k, exclude_self=True).select("qid", "vec_id")
+    met = exact.join(rows.select("vec_id", "cell"), "vec_id").collect()  # k neighbours of the sample, in a few cells each
+    first: dict[tuple, int] = {}
+    for r in met:
+        at = int(near[r["qid"]][r["cell"]])
+        first[r["qid"], r["vec_id"]] = min(at, first.get((r["qid"], r["vec_id"]), at))
+    needed = np.sort(np.array([*first.values()], np.int64))
+    if not len(needed):
+        return 1, 1.0
+    probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+    return probes, float((needed < probes).mean())
+
+
+def write_ann(vectors: DataFrame, path: str, n: int | None = None, copies: int = 2, target: float = 0.95) -> None:
+    """The index: vectors in folders by cell, of which a search reads those it probes, the centroids, and how many cells reach the target recall."""
+    spark, centroids = vectors.sparkSession, cells(vectors, n)
     placed = assign(vectors, centroids, copies)
     placed.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    spark = vectors.sparkSession
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    probes = enough_probes(vectors, spark.read.schema(ROWS).parquet(f"{path}/cells"), centroids, target)
+    spark.createDataFrame([probes], "probes int, recall double").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
 
 
-def read_ann(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+def read_ann(spark: SparkSession, path: str) -> Cells:
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # as many as cells
-    return spark.read.schema("vec_id bigint, embedding array<float>, cell int").parquet(f"{path}/cells"), np.array([r["centroid"] for r in rows], np.float64)
+    return Cells(spark.read.schema(ROWS).parquet(f"{path}/cells"), np.array([r["centroid"] for r in rows], np.float64), spark.read.parquet(f"{path}/probes").first()["probes"])
 
 
-def ann(queries: DataFrame, index: tuple[DataFrame, np.ndarray], k: int = 10, probes: int = 8, allowed: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
-    """As knn, but each query looks only into the cells nearest to it; probes trades effort for recall.
+def ann(queries: DataFrame, index: Cells, k: int = 10, probes: int | None = None, allowed: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+    """As knn, but each query looks only into the cells nearest to it; probes, else the index's own number, trades effort for recall.
 
     Vectors outside ``allowed`` (vec_id) are left out before the best are taken, so a filter never costs results that its cells hold.
     """
-    indexed, centroids = index
+    indexed, centroids, probes = index.rows, index.centroids, probes or index.probes
     if allowed is not None:
         indexed = indexed.join(allowed.select("vec_id").distinct(), "vec_id", "left_semi")
     spark, parts = indexed.sparkSession, []
@@ -219,7 +251,7 @@ def latencies(search, queries: DataFrame, most: int = 20) -> DataFrame:
     return queries.sparkSession.createDataFrame(took, "qid bigint, seconds double")
 
 
-def recall_curve(queries: DataFrame, vectors: DataFrame, index: tuple[DataFrame, np.ndarray], probes=(1, 2, 4, 8), k: int = 10, timed: int = 0) -> DataFrame:
+def recall_curve(queries: DataFrame, vectors: DataFrame, index: Cells, probes=(1, 2, 4, 8), k: int = 10, timed: int = 0) -> DataFrame:
     """probes and mean recall over all queries, one row for each effort; with timed > 0 also the median and 95th percentile of so many searches' seconds, and how much faster than exact search the median is."""
     exact, out = knn(queries, vectors, k), None
     base = latencies(lambda q: knn(q, vectors, k), queries, timed).agg(F.median("seconds").alias("exact_p50")) if timed else None

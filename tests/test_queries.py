@@ -29,5 +29,5 @@ def test_ann_recall(spark, folder):
     """Recall of the stored index against exact search, for all vectors whose id is divisible by 50."""
     read = lambda name: readers.table(spark, folder, name)
     asked = queries.asked_vectors(read)
-    found = vectors.ann(asked, queries.stored_cells(read, spark, folder), probes=queries.PROBES)
+    found = vectors.ann(asked, queries.stored_cells(read, spark, folder))
     assert vectors.recall(vectors.knn(asked, read("embeddings")), found).agg({"recall": "avg"}).first()[0] >= 0.9
