@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA, table
 from tessera.operators import vectors
@@ -31,3 +32,14 @@ def test_ann_recall(spark, folder):
     asked = queries.asked_vectors(read)
     found = vectors.ann(asked, queries.stored_cells(read, spark, folder))
     assert vectors.recall(vectors.knn(asked, read("embeddings")), found).agg({"recall": "avg"}).first()[0] >= 0.9
+
+
+def test_negative_zero(spark, oracle):
+    """A small negative number rounds to the zero that SQL rounds it to."""
+    import struct
+
+    rows = spark.createDataFrame([(-4e-7,), (4e-7,), (-0.0,), (-6e-7,)], "x double")
+    bits = lambda values: [struct.pack(">d", v) for v in values]
+    found = [r[0] for r in rows.select(queries.signed_round(F.col("x"))).collect()]
+    assert bits(found) == bits(r[0] for r in oracle.sql("SELECT round(x, 6) FROM (VALUES (1, -4e-7::DOUBLE), (2, 4e-7), (3, -0.0::DOUBLE), (4, -6e-7)) t(i, x) ORDER BY i").fetchall())
+    assert str(found[0]) == "-0.0"
