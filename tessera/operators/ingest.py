@@ -10,14 +10,18 @@ from ..functions import text as T
 REGISTRY = "source_id string, label string, authority int, unit string, langs array<string>, priority int"
 
 
-def sources(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """file and source_id: the nearest folder of each file that the registry names. A file below none of them is an error when it is read."""
+def with_source(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """files (file) with source_id: the nearest folder that the registry, which is small, names. A file below none of them is an error when it is read."""
+    known = registry.agg(F.collect_set("source_id").alias("_known"))
     folders = F.slice(F.split("file", "/"), 1, F.greatest(F.size(F.split("file", "/")) - 1, F.lit(0)))
-    named = files.select("file").distinct().select("file", F.posexplode_outer(folders).alias("depth", "source_id"))
-    known = named.join(registry.select("source_id").distinct().withColumn("known", F.lit(True)), "source_id", "left")
-    nearest = known.groupBy("file").agg(F.max(F.when(F.col("known"), F.struct("depth", "source_id"))).alias("x"))
+    nearest = F.try_element_at(F.filter(folders, lambda x: F.array_contains("_known", x)), F.lit(-1))
     missing = F.raise_error(F.concat(F.lit("no folder of a known source: "), F.col("file"))).cast("string")
-    return nearest.select("file", F.coalesce("x.source_id", missing).alias("source_id"))
+    return files.crossJoin(F.broadcast(known)).withColumn("source_id", F.coalesce(nearest, missing)).drop("_known")  # known is one row
+
+
+def sources(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """file and source_id of all files."""
+    return with_source(files.select("file").distinct(), registry)
 
 
 def pages(raw: DataFrame, registry: DataFrame, chosen: list[str] | None = None, priority: int | None = None) -> DataFrame:
@@ -27,13 +31,17 @@ def pages(raw: DataFrame, registry: DataFrame, chosen: list[str] | None = None,
     raw may have a source_id already; else it is that of the file's nearest folder.
     """
     if "source_id" not in raw.columns:
-        raw = raw.join(sources(raw, registry), "file")
+        raw = with_source(raw, registry)
     if chosen is not None:
         registry = registry.filter(F.col("source_id").isin([*chosen]))
     if priority is not None:
         registry = registry.filter(F.col("priority") <= priority)
     about = registry.select("source_id", F.col("label").alias("source_label"), "authority", "unit")
-    text = raw.join(about, "source_id").withColumn("text", T.clean(F.col("text"))).filter((F.col("text") != "") & ~T.is_contents(F.col("text")))
+    # Files may have few row groups: texts are dealt evenly before the costly steps.
+    raw = raw.join(F.broadcast(about), "source_id").repartition(F.xxhash64("file", "page"))
+    # Exploding what is kept cleans a text once; a filter would do so again for its condition.
+    kept = F.filter(F.array(T.clean(F.col("text"))), lambda t: (t != "") & ~T.is_contents(t))
+    text = raw.select(*[c for c in raw.columns if c != "text"], F.explode(kept).alias("text"))
     text = text.withColumn("lang", T.detect_lang(F.col("text")))
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
     return text.select(
@@ -45,8 +53,9 @@ def pages(raw: DataFrame, registry: DataFrame, chosen: list[str] | None = None,
 def documents(pages: DataFrame) -> DataFrame:
     """Pages nested into one row for each document, with its languages in order, and the numbers of its pages and units."""
     own = F.struct("page", "lang", "text", "text_norm", "unit_refs")
-    found = pages.groupBy("doc_id", "source_id", "source_label", "authority", "unit", "file").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_list(own)).alias("pages"))
-    counted = found.withColumns({"n_pages": F.size("pages"), "n_unit_refs": F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p["unit_refs"]))})
+    # Pages and units are counted for themselves, so that a reader of the numbers only has no texts collected.
+    numbers = [F.count("*").cast("int").alias("n_pages"), F.sum(F.size("unit_refs")).cast("int").alias("n_unit_refs")]
+    counted = pages.groupBy("doc_id", "source_id", "source_label", "authority", "unit", "file").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_list(own)).alias("pages"), *numbers)
     return counted.select("doc_id", "source_id", "source_label", "authority", "unit", "file", "langs", "n_pages", "n_unit_refs", "pages")
 
 
