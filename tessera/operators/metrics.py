@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
@@ -22,10 +22,14 @@ def per_query(run: DataFrame, judged: DataFrame, ks: Sequence[int] = KS, by: Seq
     failure. Without it those with an answer count. Judgements with gain above 0 are relevant. A run's repeated chunks count once for recall.
     """
     k_most = max(ks)
-    relevant = judged.groupBy("qid").agg(F.count_if(F.col("gain") > 0).alias("n_relevant"), F.slice(F.sort_array(F.collect_list("gain"), asc=False), 1, k_most).alias("gains"))
-    # An ideal list needs the k largest gains only; dcg of them is the divisor.
-    ideal = F.aggregate(F.transform("gains", lambda g, i: g / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
-    relevant = relevant.select("qid", "n_relevant", ideal.alias("ideal"))
+    # Gains are counted by value first, so that no list of a question's judgements is held. An ideal list needs
+    # the k largest gains only; dcg of them is the divisor. A value's places follow from how many gains are larger.
+    counts = judged.groupBy("qid", "gain").agg(F.count("*").alias("n"))
+    larger = Window.partitionBy("qid").orderBy(F.col("gain").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(larger), F.lit(0)))
+    places = F.when((F.col("before") < k_most) & F.col("gain").isNotNull(), F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k_most)))).otherwise(F.array().cast("array<bigint>"))
+    part = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.col("gain") / F.log2(i + 1))
+    relevant = counts.withColumn("part", part).groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("gain") > 0, F.col("n"))), F.lit(0)).alias("n_relevant"), F.sum("part").alias("ideal"))
     rows, hit = run.join(judged, ["qid", "chunk_id"], "left"), F.col("gain") > 0
     at = lambda k: F.countDistinct(F.when(hit & (F.col("rank") < k), F.col("chunk_id")))
     found = rows.groupBy(*by, "qid").agg(
@@ -88,8 +92,6 @@ def percentages(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def systematic(numbers: DataFrame, column: str, n: int = 20) -> DataFrame:
     """About n different values of a column, evenly spread over their order: every step-th, the first n of these."""
-    from pyspark.sql import Window
-
     every = numbers.select(column).filter(F.col(column).isNotNull()).distinct()
     step = max(1, every.count() // n)
     # Places come from sorted partitions and their sizes, so no task sees all values.
