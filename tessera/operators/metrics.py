@@ -106,10 +106,16 @@ def systematic(numbers: DataFrame, column: str, n: int = 20) -> DataFrame:
 def mcnemar(hits: DataFrame) -> DataFrame:
     """Exact two-sided test of two configurations on rows (qid, a, b: hit or not): only_a, only_b, p."""
     n = hits.agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))
-    # Binomial terms follow from the one before: choose(n, i) = choose(n, i - 1) (n - i + 1) / i.
+    # Binomial terms follow from the one before: choose(n, i) = choose(n, i - 1) (n - i + 1) / i. Large ones are
+    # scaled down by a power of two, which loses no digit, as doubles end below 2**1024.
     few, every = F.least("only_a", "only_b"), F.col("only_a") + F.col("only_b")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    step = lambda s, i: F.struct((s["term"] * (every - i + 1) / i).alias("term"), (s["sum"] + s["term"] * (every - i + 1) / i).alias("sum"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), F.lit(0.0).alias("scaled"))
+
+    def step(s: Column, i: Column) -> Column:
+        by = F.when(s["sum"] > 2.0**500, F.lit(2.0**-500)).otherwise(F.lit(1.0))
+        term = s["term"] * by * (every - i + 1) / i
+        return F.struct(term.alias("term"), (s["sum"] * by + term).alias("sum"), (s["scaled"] + F.when(by < 1, 500.0).otherwise(0.0)).alias("scaled"))
+
     terms = F.when(few > 0, F.sequence(F.lit(1).cast("bigint"), few)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(terms, start, step, lambda s: s["sum"])
-    return n.withColumn("p", F.when(every == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), every))))
+    tail = F.aggregate(terms, start, step, lambda s: s["sum"] * F.pow(F.lit(2.0), s["scaled"] - every))
+    return n.withColumn("p", F.when(every == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
