@@ -1,4 +1,8 @@
-"""Retrieval metrics. A run is rows (config, qid, chunk_id, rank); judgements are rows (qid, chunk_id, gain)."""
+"""Retrieval metrics. A run is rows (config, qid, chunk_id, rank); judgements are rows (qid, chunk_id, gain).
+
+Where gains follow from a rule, most pairs of a question and a chunk may be judged. Then no pairs need be listed: a run
+whose rows have their gain (null where not judged) takes judgements that are counted, rows (qid, gain, n).
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,11 @@ def asked_of(run: DataFrame, questions: DataFrame) -> DataFrame:
     return run.select("config").distinct().crossJoin(questions.select("qid").distinct())  # configurations are few
 
 
+def counted(judged: DataFrame) -> DataFrame:
+    """How many judgements of each gain a question has: qid, gain, n."""
+    return judged.groupBy("qid", "gain").agg(F.count("*").alias("n"))
+
+
 def per_query(run: DataFrame, judged: DataFrame, ks: Sequence[int] = KS, by: Sequence[str] = ("config",), asked: DataFrame | None = None) -> DataFrame:
     """Metrics of each configuration and question that has judgements: n_relevant, recall, hit and precision at ks, mrr, ndcg at the largest k.
 
@@ -24,13 +33,14 @@ def per_query(run: DataFrame, judged: DataFrame, ks: Sequence[int] = KS, by: Seq
     k_most = max(ks)
     # Gains are counted by value first, so that no list of a question's judgements is held. An ideal list needs
     # the k largest gains only; dcg of them is the divisor. A value's places follow from how many gains are larger.
-    counts = judged.groupBy("qid", "gain").agg(F.count("*").alias("n"))
+    counts = judged.select("qid", "gain", "n") if "gain" in run.columns else counted(judged)
     larger = Window.partitionBy("qid").orderBy(F.col("gain").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(larger), F.lit(0)))
     places = F.when((F.col("before") < k_most) & F.col("gain").isNotNull(), F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k_most)))).otherwise(F.array().cast("array<bigint>"))
     part = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.col("gain") / F.log2(i + 1))
     relevant = counts.withColumn("part", part).groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("gain") > 0, F.col("n"))), F.lit(0)).alias("n_relevant"), F.sum("part").alias("ideal"))
-    rows, hit = run.join(judged, ["qid", "chunk_id"], "left"), F.col("gain") > 0
+    rows = run if "gain" in run.columns else run.join(judged, ["qid", "chunk_id"], "left")
+    hit = F.col("gain") > 0
     at = lambda k: F.countDistinct(F.when(hit & (F.col("rank") < k), F.col("chunk_id")))
     found = rows.groupBy(*by, "qid").agg(
         (1.0 / (F.min(F.when(hit, F.col("rank"))) + 1)).alias("mrr"),

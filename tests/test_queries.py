@@ -1,8 +1,11 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, table
-from tessera.operators import vectors
+from tessera.operators import metrics, vectors
 from tessera.plans import queries
 from tessera.plans.queries import QUERIES, SQL
 from tessera.sources import readers
@@ -43,3 +46,20 @@ def test_negative_zero(spark, oracle):
     found = [r[0] for r in rows.select(queries.signed_round(F.col("x"))).collect()]
     assert bits(found) == bits(r[0] for r in oracle.sql("SELECT round(x, 6) FROM (VALUES (1, -4e-7::DOUBLE), (2, 4e-7), (3, -0.0::DOUBLE), (4, -6e-7)) t(i, x) ORDER BY i").fetchall())
     assert str(found[0]) == "-0.0"
+
+
+def test_judgements_counted(spark, tmp_path):
+    """Judgements by label are counted without making pairs, as all pairs would have it, for odd rows too."""
+    rng, labels = np.random.default_rng(5), [0, 1, 1, 2, 2, 2, 4, None, 7]
+    rows = [(i, rng.normal(size=64).tolist(), labels[i // 25 % len(labels)]) for i in range(400)]
+    rows += [(50, rows[7][1], 1), (100, rows[9][1], None), (120, rows[8][1], 2)]  # ids that repeat
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    read = lambda name: readers.table(spark, str(tmp_path), name)
+    run, counts = queries.run_and_judged(read)
+    made = metrics.per_query(run, counts, asked=queries.asked_all(read))
+    assert not re.search("NestedLoop|Cartesian", run.join(counts, "qid")._jdf.queryExecution().executedPlan().toString())
+    e = read("embeddings").select("vec_id", "label").collect()
+    pairs = [(q.vec_id, c.vec_id, 3.0 if q.label == c.label else 1.0) for q in e for c in e if q.vec_id % 50 == 0 and q.vec_id != c.vec_id and None not in (q.label, c.label) and abs(q.label - c.label) <= 1]
+    listed = metrics.per_query(queries.two_runs(read), spark.createDataFrame(pairs, "qid bigint, chunk_id bigint, gain double"), asked=queries.asked_all(read))
+    places = lambda df: sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()])
+    assert places(made) == places(listed) and made.count() > 8
